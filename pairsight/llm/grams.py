@@ -52,3 +52,42 @@ def inside_word(data: np.ndarray, n: int) -> np.ndarray:
     elif n == 2:
         ok &= ~(space[:size] & space[1 : 1 + size])
     return ok
+
+
+class Passages:
+    """Texts cut into passages of ``size`` consecutive words; a text without words has one empty passage.
+
+    starts: byte position in ``data`` of the space before each passage; doc: the passage's text.
+    """
+
+    def __init__(self, texts: list[bytes], table: bytes, size: int):
+        self.data, self.at = joined(texts, table)
+        space = self.data == 32
+        begin = np.flatnonzero(~space[1:] & space[:-1])  # the space before each word
+        doc = np.searchsorted(self.at, begin, "right") - 1
+        first = np.searchsorted(begin, self.at[:-1])
+        counts = np.diff(np.append(first, len(begin)))
+        chosen = (np.arange(len(begin)) - first[doc]) % size == 0
+        empty = np.flatnonzero(counts == 0)
+        starts = np.concatenate([begin[chosen], self.at[empty]])
+        docs = np.concatenate([doc[chosen], empty])
+        order = np.lexsort((starts, docs))
+        self.starts, self.doc = starts[order], docs[order]
+        self.first = np.searchsorted(self.doc, np.arange(len(texts)))
+
+    def counts(self, orders: tuple[int, ...], dims: int, whole_words: bool) -> np.ndarray:
+        """Hashed n-gram counts, a row for each passage."""
+        passage = np.repeat(np.arange(len(self.starts), dtype=np.int64) * dims, np.diff(np.append(self.starts, len(self.data))))
+        out = np.zeros(len(self.starts) * dims, np.float32)
+        skip = self.starts[0] if len(self.starts) else 0
+        for n in orders:
+            h = (gram_hash(self.data, n) % np.uint32(dims)).astype(np.int64)[skip:]
+            h += passage[: len(h)]
+            if whole_words:
+                h = h[inside_word(self.data, n)[skip:]]
+            out += np.bincount(h, minlength=len(out))
+        return out.reshape(-1, dims)
+
+    def bytes_of(self, i: int, raw: bytes) -> bytes:
+        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.data)
+        return raw[self.starts[i] : end]

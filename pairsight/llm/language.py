@@ -141,7 +141,7 @@ def fit_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     s = settings or Settings()
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    rows = labelled.where(F.col(lang_col).isNotNull())
     langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()]
     if not langs:
         return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, media
+from . import common, html_text, language, media, quality_mil, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,23 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_media": op1_media, "op3_language": op3_language}
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), common.table(spark, sf_dir, "labels")
+    held_out = common.crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit_model(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), common.table(spark, sf_dir, "labels")
+    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    model = quality_mil.fit_model(docs, labels.where(~held_out))
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_media": op1_media, "op3_language": op3_language, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {}
