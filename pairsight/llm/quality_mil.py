@@ -1,7 +1,7 @@
 """Quality by attention over passages (multiple-instance learning).
 
 A text is a bag of passages of ``Settings.words`` words. Each passage is encoded (hashed n-grams
-of letters and of character classes, then one tanh layer), a gated attention (tanh gate times
+of letters and of character classes, shares of repeated words, then one tanh layer), a gated attention (tanh gate times
 sigmoid gate) weighs the passages, and a logistic unit reads the weighted sum. All weights are
 learnt in numpy from labels of whole texts, on a bounded sample: ``Settings.each`` rows of either
 label with the least id hashes, at most ``Settings.passages`` passages of each. Prediction reads
@@ -14,13 +14,14 @@ label 1 (0 without any). Repeated rows get equal scores; only the id is kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import LETTERS, SHAPE, Passages
-from .toxicity import _WHITE, Constant, passage_sample, sample_of
+from .toxicity import _WHITE, Constant, passage_sample, prior_shift, sample_of
 
 
 @dataclass(frozen=True)
@@ -49,15 +50,25 @@ def encode(texts: list[bytes], s: Settings, size: int) -> tuple[np.ndarray, np.n
         p.starts = np.concatenate(([0], np.cumsum([len(x) for x in cut])[:-1])).astype(np.int64) if cut else np.zeros(0, np.int64)
         x = np.sqrt(p.counts(orders, s.dims, whole))
         parts.append(x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9))
+    parts.append(np.array([repetition(c) for c in cut], np.float32).reshape(-1, 2))
     return np.hstack(parts), shape.first
 
 
+def repetition(passage: bytes) -> tuple[float, float]:
+    """Share of words equal to the one before, and share of words seen before in the passage."""
+    words = passage.split()
+    n = len(words)
+    if n < 2:
+        return 0.0, 0.0
+    return sum(map(eq, words, words[1:])) / (n - 1), 1 - len(set(words)) / n
+
+
 class Model:
     def __init__(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, s: Settings):
         self.s, rng = s, np.random.default_rng(5)
         d = x.shape[1]
         self.w = {
-            "w1": rng.normal(0, 1, (d, s.hidden)) * 0.5, "b1": np.zeros(s.hidden), "v": rng.normal(0, 0.3, (s.hidden, s.gate)), "u": rng.normal(0, 0.3, (s.hidden, s.gate)),
+            "w1": rng.normal(0, 0.5, (d, s.hidden)), "b1": np.zeros(s.hidden), "v": rng.normal(0, 0.3, (s.hidden, s.gate)), "u": rng.normal(0, 0.3, (s.hidden, s.gate)),
             "a": rng.normal(0, 0.3, s.gate), "out": rng.normal(0, 0.3, s.hidden), "bias": np.zeros(1),
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
@@ -116,6 +127,13 @@ def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id
     got = sorted(passage_sample(source, s.words, s.passages, lower=False))
     if len({label for label, _, _ in got}) < 2:
         return Constant(float(np.mean([label for label, _, _ in got])) if got else 0.0)
-    x, _ = encode([p for _, _, ps in got for p in ps], s, 1 << 30)
-    first = np.concatenate(([0], np.cumsum([len(ps) for _, _, ps in got])[:-1]))
-    return Model(x, first, np.array([label for label, _, _ in got]), s)
+    rng = np.random.default_rng(3)
+    bags = [(label, ps) for label, _, ps in got]
+    # short texts are rare among long passages: the first few words of one passage serve as a text too
+    bags += [(label, [b" ".join(ps[rng.integers(len(ps))].split()[: rng.integers(1, 16)])]) for label, _, ps in got]
+    x, _ = encode([p for _, ps in bags for p in ps], s, 1 << 30)
+    first = np.concatenate(([0], np.cumsum([len(ps) for _, ps in bags])[:-1]))
+    y = np.array([label for label, _ in bags])
+    model = Model(x, first, y, s)
+    model.w["bias"] += np.float32(prior_shift(labels, label_col, np.array([0, 1])))
+    return model

@@ -29,15 +29,16 @@ from .grams import LETTERS, Passages, gram_hash, inside_word
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 18
-    dims: int = 6
+    dims: int = 4
     orders: tuple[int, ...] = (3, 4, 5, 6)
-    words: int = 16
-    positives: int = 2500
-    negatives: int = 3500
-    passages: int = 24
+    words: int = 4
+    positives: int = 2000
+    negatives: int = 3000
+    passages: int = 160
     epochs: int = 6
-    rate: float = 40.0
-    batch: int = 256
+    rate: float = 1.0
+    decay: float = 1e-7
+    batch: int = 1024
     least: int = 4
 
 
@@ -76,39 +77,38 @@ class Model:
         tune = rng.random(len(label)) < 0.25
         y = label[doc]
         train = ~tune[doc]
+        history = np.full(s.buckets, 1e-6, np.float32)
         for epoch in range(s.epochs):
-            weight = np.where(y == 1, 1.0, 1.0)
+            weight = train.astype(np.float64)
             if epoch > 1:
                 z = self._logits(ids, at, size, table @ (soft[:, 1] - soft[:, 0]), bias[1] - bias[0])
                 top = np.full(len(label), -np.inf)
                 np.maximum.at(top, doc, z)
-                weight = np.where((y == 0) | (z >= np.minimum(top[doc], 0.0)), 1.0, 0.0)
-            pos, neg = (weight * train * (y == 1)).sum(), (weight * train * (y == 0)).sum()
-            weight = weight * np.where(y == 1, 0.5 / max(pos, 1), 0.5 / max(neg, 1)) * (pos + neg)
-            rows = rng.permutation(np.flatnonzero(train & (weight > 0)))
-            rate = s.rate * (1 - epoch / s.epochs)
+                weight *= (y == 0) | (z >= np.minimum(top[doc], 1.0))
+            pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
+            weight *= np.where(y == 1, 0.5 * (pos + neg) / max(pos, 1), 0.5 * (pos + neg) / max(neg, 1))
+            rows = rng.permutation(np.flatnonzero(weight > 0))
+            rate = s.rate * (1 - 0.8 * epoch / s.epochs)
             for b in range(0, len(rows), s.batch):
                 r = rows[b : b + s.batch]
                 n = at[r + 1] - at[r]
                 ends = np.cumsum(n)
-                take = np.repeat(at[r] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-                g = ids[take]
+                g = ids[np.repeat(at[r] - (ends - n), n) + np.arange(ends[-1])]
                 owner = np.repeat(np.arange(len(r)), n)
-                x = table[g]
-                mean = np.stack([np.bincount(owner, x[:, k], len(r)) for k in range(s.dims)], 1) / size[r][:, None]
+                mean = np.stack([np.bincount(owner, table[g, k], len(r)) for k in range(s.dims)], 1) / size[r][:, None]
                 logit = mean @ soft + bias
                 p = np.exp(logit - logit.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(r)), y[r]] -= 1
                 p *= (weight[r] / len(r))[:, None]
                 back = (p @ soft.T) / size[r][:, None]
-                soft -= (0.05 * rate * 0.1) * (mean.T @ p).astype(np.float32)
-                bias -= (0.05 * rate * 0.1) * p.sum(0).astype(np.float32)
+                soft -= (0.02 * (mean.T @ p)).astype(np.float32)
+                bias -= (0.02 * p.sum(0)).astype(np.float32)
                 known = common[g]
-                g, owner = g[known], owner[known]
-                step = (rate * s.batch * back).astype(np.float32)[owner]
-                for k in range(s.dims):
-                    np.subtract.at(table[:, k], g, step[:, k])
+                unique, place = np.unique(g[known], return_inverse=True)
+                grad = np.stack([np.bincount(place, back[owner[known], k], len(unique)) for k in range(s.dims)], 1) + s.decay * table[unique]
+                history[unique] += (grad * grad).mean(1) * len(r)
+                table[unique] -= rate * grad * np.sqrt(len(r)) / np.sqrt(history[unique])[:, None]
         table *= common[:, None]
         self.table = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
@@ -158,6 +158,13 @@ class Constant:
         return np.full(len(texts), self.score)
 
 
+def prior_shift(labels: DataFrame, label_col: str, taken: np.ndarray) -> float:
+    """What to add to a log-odds learnt on the sample, whose share of label 1 is not that of the table."""
+    known = {int(r[0]): r[1] for r in labels.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
+    every = np.log((known.get(1, 0) + 0.5) / (sum(known.values()) - known.get(1, 0) + 0.5))
+    return float(every - np.log(((taken == 1).sum() + 0.5) / ((taken != 1).sum() + 0.5)))
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, sizes: dict[int, int], id_col: str, salt: str) -> DataFrame:
     """(id, label) of the labelled ids with the least hashes, bounded for each label; ties by id.
 
@@ -181,7 +188,10 @@ def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_c
         return Constant(float(np.mean([label for label, _, _ in got])) if got else 0.0)
     passages = [p for _, _, ps in got for p in ps]
     doc = np.repeat(np.arange(len(got)), [len(ps) for _, _, ps in got])
-    return Model(passages, doc, np.array([label for label, _, _ in got]), s)
+    y = np.array([label for label, _, _ in got])
+    model = Model(passages, doc, y, s)
+    model.shift += prior_shift(labels, label_col, y)
+    return model
 
 
 def passage_sample(source: DataFrame, words: int, most: int, lower: bool = True) -> list[tuple]:
