@@ -34,7 +34,7 @@ class Settings:
     words: int = 4
     positives: int = 2000
     negatives: int = 3000
-    passages: int = 160
+    passages: int = 128
     epochs: int = 6
     rate: float = 1.0
     decay: float = 1e-7
@@ -46,18 +46,19 @@ def prepared(texts: list[str | None]) -> list[bytes]:
     return [(x or "").lower().encode() for x in texts]
 
 
-def bag(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def bag(texts: list[bytes], s: Settings, step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """n-gram buckets of passages given as texts, and where each one's begin."""
-    p = Passages(texts, LETTERS, 1 << 30)
-    owner, ids = [], []
-    at = np.repeat(np.arange(len(texts)), np.diff(p.at))
-    for n in s.orders:
-        keep = np.flatnonzero(inside_word(p.data, n))
-        ids.append((gram_hash(p.data, n)[keep] % np.uint32(s.buckets)).astype(np.int64))
-        owner.append(at[keep])
-    owner_all = np.concatenate(owner)
-    order = np.argsort(owner_all, kind="stable")
-    return np.concatenate(ids)[order], np.searchsorted(owner_all[order], np.arange(len(texts) + 1))
+    ids, sizes = [], []
+    for k in range(0, len(texts), step):
+        part = texts[k : k + step]
+        p = Passages(part, LETTERS, 1 << 30)
+        own = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(p.at))
+        keep = [np.flatnonzero(inside_word(p.data, n)) for n in s.orders]
+        owner = np.concatenate([own[x] for x in keep])
+        value = np.concatenate([gram_hash(p.data, n)[x] % np.uint32(s.buckets) for n, x in zip(s.orders, keep, strict=True)])
+        ids.append(value[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
 class Model:
@@ -69,8 +70,11 @@ class Model:
         ids, at = bag(passages, s)
         size = np.maximum(np.diff(at), 1)
         # n-grams of fewer than ``least`` training texts say nothing: they count as padding
-        pair = np.unique(ids * (len(label) + 1) + np.repeat(doc, np.diff(at)))
-        common = np.bincount(pair // (len(label) + 1), minlength=s.buckets) >= s.least
+        seen = np.zeros(s.buckets, np.int32)
+        edges = np.searchsorted(doc, np.arange(len(label) + 1))
+        for i in range(len(label)):
+            seen[np.unique(ids[at[edges[i]] : at[edges[i + 1]]])] += 1
+        common = seen >= s.least
         table = rng.normal(0, 0.1, (s.buckets, s.dims)).astype(np.float32) * common[:, None]
         soft = rng.normal(0, 0.3, (s.dims, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
@@ -120,8 +124,12 @@ class Model:
 
     @staticmethod
     def _logits(ids, at, size, table, bias):
-        sums = np.concatenate(([0.0], np.cumsum(table[ids].astype(np.float64))))
-        return (sums[at[1:]] - sums[at[:-1]]) / size + bias
+        out = np.empty(len(size))
+        for k in range(0, len(size), 8192):
+            a = at[k : k + 8193]
+            sums = np.concatenate(([0.0], np.cumsum(table[ids[a[0] : a[-1]]], dtype=np.float64)))
+            out[k : k + 8192] = (sums[a[1:] - a[0]] - sums[a[:-1] - a[0]]) / size[k : k + 8192] + bias
+        return out
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         s = self.s
