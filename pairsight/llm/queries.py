@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_text, language, media, quality_mil, toxicity
+from . import common, html_text, language, media, near_dedup, quality_mil, quality_rules, substring_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.Settings(words=4, percent=80))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated(documents(spark, sf_dir), substring_dedup.Settings(window=35), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), common.table(spark, sf_dir, "labels")
     held_out = common.crc_mod(F.col("doc_id"), 4) == 2
@@ -41,5 +54,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_media": op1_media, "op3_language": op3_language, "op4_html": op4_html, "op5_toxicity": op5_toxicity, "op9_quality": op9_quality}
+QUERIES = {f.__name__: f for f in (op1_media, op3_language, op4_html, op5_toxicity, op6_near_dedup, op8_quality_rules, op9_quality, op10_substring)}
 ORACLE_SQL: dict[str, str] = {}
