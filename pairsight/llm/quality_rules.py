@@ -130,10 +130,12 @@ def mahalanobis(rows: DataFrame, names: list[str], floors: list[float], groups:
     p = len(names)
     own = F.struct(*[F.coalesce(F.col(g).cast("string"), F.lit("\x00")).alias(g) for g in groups])
     sizes = rows.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("n_group"))
-    n_groups = sizes.count()
+    n_groups, n_small = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("n_group") < rules.group)).first()
     keyed = rows.withColumn("own", own).join(small(sizes.where(F.col("n_group") >= rules.group), n_groups), "own", "left")
     keyed = keyed.withColumn("key", F.when(F.col("n_group").isNotNull(), F.to_json("own")).otherwise(F.lit(""))).drop("own", "n_group")
-    centre = keyed.groupBy("key").agg(
+    # small groups are judged by the estimate of all rows
+    base = keyed.where(F.col("key") != "").unionByName(keyed.withColumn("key", F.lit(""))) if n_small else keyed
+    centre = base.groupBy("key").agg(
         *[F.percentile_approx(n, F.lit(0.5), F.lit(10000)).alias(f"m_{n}") for n in names],
         *[((F.percentile_approx(n, F.lit(0.75), F.lit(10000)) - F.percentile_approx(n, F.lit(0.25), F.lit(10000))) / 1.349).alias(f"s_{n}") for n in names],
     )
@@ -142,7 +144,7 @@ def mahalanobis(rows: DataFrame, names: list[str], floors: list[float], groups:
             centre = centre.withColumn(f"l_{i}_{j}", F.sqrt(F.col(f"s_{n}") ** 2 + floors[i] ** 2) if i == j else F.lit(0.0))
     factor = consistency(p, rules.half)
     for _ in range(rules.steps):
-        scored = _distance(keyed, centre, names, n_groups)
+        scored = _distance(base, centre, names, n_groups)
         cut = scored.groupBy("key").agg(F.percentile_approx("d2", F.lit(rules.half), F.lit(10000)).alias("cut"))
         inner = scored.join(small(cut, n_groups), "key").where(F.col("d2") <= F.col("cut"))
         moments = inner.groupBy("key").agg(
