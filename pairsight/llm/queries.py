@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_text, language, media, near_dedup, quality_mil, quality_rules, substring_dedup, toxicity
+from . import common, html_text, language, media, mixing, near_dedup, packing, quality_mil, quality_rules, substring_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_features(media.encode_images(documents(spark, sf_dir)))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_rank", "mix_key", "mix_tokens", "mix_weight")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = common.crc_mod(F.col("doc_id"), 5) == 0
@@ -38,6 +43,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), near_dedup.Settings(words=4, percent=80))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -54,5 +63,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_language, op4_html, op5_toxicity, op6_near_dedup, op8_quality_rules, op9_quality, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_mixing, op3_language, op4_html, op5_toxicity, op6_near_dedup, op7_packing, op8_quality_rules, op9_quality, op10_substring)}
 ORACLE_SQL: dict[str, str] = {}

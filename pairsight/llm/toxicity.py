@@ -237,3 +237,14 @@ def score(docs: DataFrame, model: Model | Constant, id_col: str = "doc_id", text
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return map_batches(source, fn, f"`{id_col}` {source.schema[0].dataType.simpleString()}, score double, predicted int", "text")
+
+
+def keep_scored(docs: DataFrame, model: Model | Constant, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows (all columns) whose whole text scores at least ``threshold``; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def fn(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(held.value.predict(batch.column(at).cast(pa.string()).to_pylist()) >= threshold))
+
+    return map_batches(docs, fn, docs.schema, text_col)
