@@ -118,7 +118,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
 #: Bytes that separate words: space and 0x09 to 0x0D.
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -157,7 +157,7 @@ class Words:
     def __init__(self, texts: list[bytes], lower: bool = False):
         self.n = len(texts)
         joined = b" ".join(texts) + b" "
-        self.raw = joined.translate(_LOWER) if lower else joined
+        self.raw = joined.translate(LOWER) if lower else joined
         self.data = np.frombuffer(self.raw, np.uint8)
         sep = _SEP[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], sep)).view(np.int8)))

@@ -20,7 +20,6 @@ id passes through. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 from array import array
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_batches, materialise
+from .common import LOWER, Words, map_batches, materialise, texts_of
 
 
 @dataclass(frozen=True)
@@ -55,17 +54,19 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 _loaded: dict = {}
 
 
+#: Byte classes: white space 0, ASCII letters and digits 1, other ASCII but the apostrophe 2, the rest 3.
+_CLASS = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if chr(c).isascii() and chr(c).isalnum() else 2 if c < 128 and c != 39 else 3 for c in range(256)], np.int8)
+
+
 class Tokens:
-    """Ids of texts, with the ids of each run without white space remembered.
+    """Ids of texts, with the ids of each run of characters remembered in a hash table of numpy.
 
-    The word BPE drops white space and never joins across it, so a text's ids are those of its
-    runs. Texts with the added tokens' marks, or with control characters that Python but not the
-    tokenizer takes for white space, go the library's way.
+    The word BPE drops white space, never joins across it, and always parts ASCII letters and
+    digits from other ASCII characters (the apostrophe aside), so a text's ids are those of its
+    runs. Texts with the tokenizer's added tokens go the library's way.
     """
 
-    special = re.compile(r"<\||[\x1c-\x1f]").search
-    #: Runs that are remembered from batch to batch (the first ones; frequent words come early).
-    MOST = 500_000
+    SLOTS = 1 << 22
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
@@ -75,26 +76,89 @@ class Tokens:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(str(path))
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without the end id."""
-        known = self.words
-        split = [None if self.special(t) else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws} - known.keys())
-        fresh: dict[str, bytes] = {}
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = array("I", e.ids).tobytes()
-        room = self.MOST - len(known)
-        known.update(fresh if len(fresh) <= room else dict(list(fresh.items())[: max(room, 0)]))
-        out, get = [], known.get
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join([x if (x := get(w)) is not None else fresh[w] for w in ws]))
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.ids, self.at, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes, -1 for new ones."""
+        out = np.full(len(h), -1, np.int32)
+        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        rest = np.arange(len(h))
+        while len(rest):
+            key = self.keys[slot]
+            hit = key == h[rest]
+            out[rest[hit]] = self.place[slot[hit]]
+            go = ~hit & (key != 0)
+            rest, slot = rest[go], (slot[go] + 1) & (self.SLOTS - 1)
+        return out
+
+    def _learn(self, h: np.ndarray, runs: list[str]) -> None:
+        """New hashes and their runs."""
+        if self.known + len(h) > self.SLOTS // 2:
+            self.clear()
+        parts = []
+        for k in range(0, len(runs), 10_000):
+            parts += [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(runs[k : k + 10_000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.frombuffer(b"".join([x.tobytes() for x in parts]), np.uint32)
+        n, used = self.known, int(self.at[self.known])
+        while len(self.at) < n + len(h) + 1:
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(self.ids) < used + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[used : used + len(flat)] = flat
+        self.at[n + 1 : n + len(h) + 1] = used + np.cumsum(sizes)
+        self.known += len(h)
+        rest, slot = np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(rest):
+            free = self.keys[slot] == 0
+            first = np.zeros(len(rest), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = free & first
+            self.keys[slot[put]], self.place[slot[put]] = h[rest[put]], n + rest[put]
+            go = ~put
+            rest, slot = rest[go], np.where(free[go], slot[go], (slot[go] + 1) & (self.SLOTS - 1))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids (unsigned 32 bits) of each text, without the end id."""
+        raw = b" ".join(texts) + b" "
+        w = Words.__new__(Words)
+        w.raw = raw.translate(LOWER)
+        w.data = np.frombuffer(w.raw, np.uint8)
+        kind = _CLASS[w.data]
+        before = np.concatenate(([np.int8(0)], kind[:-1]))
+        begins = (kind > 0) & ((before == 0) | (kind + before == 3) & (kind < 3) & (before < 3) & (before > 0))
+        w.starts = np.flatnonzero(begins)
+        # a run ends where the next begins or at white space
+        w.ends = np.flatnonzero(np.concatenate(((before > 0) & ((kind == 0) | begins), [False])))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.searchsorted(w.starts, np.concatenate(([0], np.cumsum(lengths + 1))))
+        h = w.hashes()
+        h[h == 0] = 1
+        found = self._find(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unique, where = np.unique(h[new], return_index=True)
+            where = new[where]
+            before_known = self.known
+            self._learn(unique, [w.raw[a:b].decode() for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True)])
+            found = self._find(h) if self.known < before_known + len(unique) else found
+            if (found < 0).any():
+                found[found < 0] = self._find(h[found < 0])
+        a = self.at[found]
+        n = self.at[found + 1] - a
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat = self.ids[np.repeat(a - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[first]
+        out = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        if any(x in raw for x in self.added):
+            for i, t in enumerate(texts):
+                if any(x in t for x in self.added):
+                    out[i] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -213,15 +277,14 @@ def pack(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     whole = np.dtype("<u4").itemsize * s.length
-    end = np.array([s.end_id], "<u4").tobytes()
+    end = np.array([s.end_id], "<u4")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     filler = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(s.end_id)), F.lit(s.filler)) == 0
 
     def cut(batch: pa.RecordBatch):
         out: dict = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for row, (ids, fills) in enumerate(zip(tokens_of(s.tokenizer).encode(texts), batch.column(2).to_pylist(), strict=True)):
-            ids += end
+        for row, (ids, fills) in enumerate(zip(tokens_of(s.tokenizer).encode(texts_of(batch.column(1))), batch.column(2).to_pylist(), strict=True)):
+            ids = ids.tobytes() + end.tobytes()
             for at in range(0, len(ids), len(ids) if fills else whole):
                 piece = ids if fills else ids[at : at + whole]
                 out["row"].append(row)
