@@ -115,8 +115,26 @@ def multi_scale_template(a, b, steps=16, least=24):
 # ---- keypoints --------------------------------------------------------------------------------
 
 
-def corners(img, most=500):
-    """Oriented corners with 256-bit binary descriptors (FAST-like score by the Harris measure)."""
+def _pattern(kind: str) -> np.ndarray:
+    """Pairs of sampling places: normal (orb), rings (brisk) or a grid's neighbours (akaze)."""
+    if kind == "brisk":
+        p = np.concatenate([[[0, 0]], *[[[r * np.cos(t), r * np.sin(t)] for t in 2 * np.pi * np.arange(n) / n] for r, n in ((3, 8), (5, 10), (7, 12))]])
+        i, j = np.triu_indices(len(p), 1)
+        keep = np.linspace(0, len(i) - 1, 256).astype(int)
+        return np.round(np.stack([p[i[keep]], p[j[keep]]], 2).transpose(0, 2, 1).reshape(256, 4))
+    if kind == "akaze":
+        g = np.array([[x, y] for x in range(-7, 8, 2) for y in range(-7, 8, 2)])
+        rng = np.random.default_rng(5)
+        i, j = rng.integers(0, len(g), 256), rng.integers(0, len(g), 256)
+        return np.concatenate([g[i], g[j]], 1).astype(float)
+    return np.clip(np.round(np.random.default_rng(31).normal(0, 4, (256, 4))), -8, 8)
+
+
+def corners(img, most=500, kind="orb"):
+    """Oriented corners with descriptors: 256 comparisons, or for ``kaze`` 64 gradient sums.
+
+    Corners score by the Harris measure; detectors of other libraries find other points.
+    """
     g = P.grey(P.fit_within(img, 800)).astype(float)
     if min(g.shape) < 32:
         return np.zeros((0, 2)), np.zeros((0, 256), bool)
@@ -133,15 +151,22 @@ def corners(img, most=500):
     order = np.argsort(-r[y, x], kind="stable")[:most]
     y, x = y[order], x[order]
     s = P.separable(g, P.gaussian(7, 2.0), "edge")
-    rng = np.random.default_rng(31)
-    pairs = np.clip(np.round(rng.normal(0, 4, (256, 4))), -8, 8)
+    pairs = _pattern(kind)
     d = np.arange(-7, 8)
     disc = (d[:, None] ** 2 + d[None] ** 2) <= 49
-    out = np.zeros((len(x), 256), bool)
+    out = np.zeros((len(x), 64)) if kind == "kaze" else np.zeros((len(x), 256), bool)
     for i, (yy0, xx0) in enumerate(zip(y, x, strict=True)):
         patch = g[yy0 - 7 : yy0 + 8, xx0 - 7 : xx0 + 8] * disc
         t = np.arctan2((patch * d[:, None]).sum(), (patch * d[None]).sum())
         c, n = np.cos(t), np.sin(t)
+        if kind == "kaze":
+            v, u = np.mgrid[-8:8, -8:8] + 0.5
+            qy, qx = np.clip(np.round(yy0 + n * u + c * v).astype(int), 0, g.shape[0] - 1), np.clip(np.round(xx0 + c * u - n * v).astype(int), 0, g.shape[1] - 1)
+            du, dv = c * gx[qy, qx] + n * gy[qy, qx], c * gy[qy, qx] - n * gx[qy, qx]
+            sums = [z.reshape(4, 4, 4, 4).sum((1, 3)).ravel() for z in (du, dv, np.abs(du), np.abs(dv))]
+            total = np.concatenate(sums)
+            out[i] = total / (np.linalg.norm(total) or 1)
+            continue
         px, py = pairs[:, 0::2], pairs[:, 1::2]
         qx, qy = np.round(c * px - n * py).astype(int), np.round(n * px + c * py).astype(int)
         v = s[np.clip(yy0 + qy, 0, g.shape[0] - 1), np.clip(xx0 + qx, 0, g.shape[1] - 1)]
@@ -220,18 +245,18 @@ def sane(h: np.ndarray | None, w: int, hgt: int) -> bool:
     return bool((turn > 0).all() or (turn < 0).all())
 
 
-def keypoint_match(a, b) -> dict:
-    (pa, da), (pb, db) = corners(a), corners(b)
+def keypoint_match(a, b, kind="orb") -> dict:
+    (pa, da), (pb, db) = corners(a, kind=kind), corners(b, kind=kind)
     m = ratio_matches(da, db)
     h, ok = ransac(pb[m[:, 0]], pa[m[:, 1]]) if len(m) else (None, np.zeros(0, bool))
     return {"inliers": int(ok.sum()), "good": len(m), "h": h, "sane": sane(h, b.shape[1], b.shape[0])}
 
 
-def keypoints(a, b):
+def keypoints(a, b, kind="orb"):
     """Inliers of a sane homography between oriented corners (0 without one)."""
     if min(*a.shape[:2], *b.shape[:2]) < 32:
         return None
-    r = keypoint_match(a, b)
+    r = keypoint_match(a, b, kind)
     return float(r["inliers"]) if r["sane"] else 0.0
 
 
@@ -265,5 +290,6 @@ def aligned_ssim(a, b, least=0.05):
 
 
 KERNELS = {
-    "phaseCorr": phase_response, "fourierMellin": fourier_mellin, "msTemplate": multi_scale_template, "orb": keypoints, "alignedSsim": aligned_ssim,
+    "phaseCorr": phase_response, "fourierMellin": fourier_mellin, "msTemplate": multi_scale_template, "orb": keypoints,
+    **{k: (lambda a, b, k=k: keypoints(a, b, k)) for k in ("akaze", "brisk", "kaze")}, "alignedSsim": aligned_ssim,
 }

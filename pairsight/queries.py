@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import colour as C
 from .functions import vector as V
-from .operators import descriptors, fullreference, fuzzy, imagehash, registration
+from .operators import descriptors, fullreference, fuzzy, imagehash, localise, registration, watermark
 from .operators import native as N
 from .plans import catalogue
 from .plans import fixtures as X
@@ -229,7 +229,11 @@ def evidence_peaks(spark, sf_dir):
 
 # ---- numpy kernels over neighbouring texts -------------------------------------------------------
 
-RASTER_KERNELS = fullreference.KERNELS | imagehash.KERNELS | descriptors.KERNELS | registration.KERNELS
+#: The second image cut down, to be searched for in the first.
+_CROPS = {"crop": lambda a, b: registration.crop_search(a, b[16:40, 16:40])}
+#: A small preview of the first image against the second.
+_PREVIEWS = {"thumbnail": lambda a, b: float(min((imagehash.difference(registration.P.resize(a, 32, 32)) != imagehash.difference(z)).sum() for z in (a, b)) <= 10)}
+RASTER_KERNELS = fullreference.KERNELS | imagehash.KERNELS | descriptors.KERNELS | registration.KERNELS | watermark.KERNELS | _CROPS | _PREVIEWS
 
 
 def _kernel_query(name: str, kernels: dict, side: int | None):
@@ -364,6 +368,76 @@ def pose(spark, sf_dir):
     return N.pose_similarity(X.joints(spark, sf_dir)).select("pair_id", r6("value"), D.verdict_of("pose", F.col("value")).alias("verdict"))
 
 
+@query("object_assignment")
+def object_assignment(spark, sf_dir):
+    """One-to-one pairs of the boxes of neighbouring images, by falling overlap."""
+    pairs = N.box_pairs(X.detections(spark, sf_dir)).withColumn("score", N.iou()).where("score >= 0.3")
+    return localise.greedy_assignment(pairs.select("pair_id", F.col("a_k").cast("int").alias("a_k"), F.col("b_k").cast("int").alias("b_k"), F.col("score").cast("double").alias("score")))
+
+
+@query("suppress")
+def suppress(spark, sf_dir):
+    return localise.suppress(X.detections(spark, sf_dir))
+
+
+_PLACE = "CASE WHEN r = 'middle' AND c = 'centre' THEN 'centre' ELSE r || ' ' || c END"
+
+
+@query("place_name", f"""WITH p AS (SELECT vec_id, CASE WHEN (embedding[1]::DOUBLE*3+1)/2 < 1/3.0::DOUBLE THEN 'left' WHEN (embedding[1]::DOUBLE*3+1)/2 > 2/3.0::DOUBLE THEN 'right' ELSE 'centre' END AS c, CASE WHEN (embedding[2]::DOUBLE*3+1)/2 < 1/3.0::DOUBLE THEN 'top' WHEN (embedding[2]::DOUBLE*3+1)/2 > 2/3.0::DOUBLE THEN 'bottom' ELSE 'middle' END AS r FROM embeddings) SELECT vec_id, {_PLACE} AS place FROM p""")
+def place_name(spark, sf_dir):
+    at = lambda k: (F.get("v", F.lit(k)).cast("double") * 3 + 1) / 2
+    return X.vectors(spark, sf_dir).select("vec_id", localise.place_name(at(0), at(1)).alias("place"))
+
+
+@query("two_lenses", "WITH " + _VP + ", t AS (SELECT pair_id, list_dot_product(a, b) AS d FROM vp) SELECT pair_id, CASE WHEN 0.4+d >= 0.4 AND 4*abs(d) >= 0.3 AND 0.5+d >= 0.5 THEN 'copied' WHEN 0.5+d >= 0.6 THEN 'similar' ELSE 'none' END AS lens FROM t")
+def two_lenses(spark, sf_dir):
+    d = X.vector_pairs(spark, sf_dir).select("pair_id", V.dot(F.col("a"), F.col("b")).alias("d"))
+    return d.select("pair_id", localise.two_lenses(0.4 + F.col("d"), 4 * F.abs("d"), 0.5 + F.col("d")).alias("lens"))
+
+
+@query("arrow_pattern")
+def arrow_pattern(spark, sf_dir):
+    """How matched vectors moved between labels: mutual matches as links."""
+    v = X.vectors(spark, sf_dir)
+    at = lambda name, k: F.get(name, F.lit(k)).cast("double")
+    links = N.mutual_matches(v).join(v.select(F.col("vec_id").alias("ia"), F.col("v").alias("va")), "ia").join(v.select(F.col("vec_id").alias("ib"), F.col("v").alias("vb")), "ib")
+    return localise.arrow_pattern(links.select("pair_id", at("va", 0).alias("ax"), at("va", 1).alias("ay"), at("vb", 0).alias("bx"), at("vb", 1).alias("by"), F.col("sim").alias("w")))
+
+
+def _grid(side: int, cells: int):
+    def describe(img):
+        z = registration.P.luma(img).reshape(cells, side // cells, cells, side // cells).swapaxes(1, 2).reshape(cells * cells, -1)
+        return z - z.mean()
+
+    return describe
+
+
+_LOCAL = {
+    "differences": lambda a, b: float(len(localise.find_differences(a, b))),
+    "evidence_sum": lambda a, b: float(localise.evidence(_grid(64, 8)(a), _grid(64, 8)(b)).sum()),
+    "copy_links": lambda a, b: float(sum(x["weight"] for x in localise.copy_links(localise.evidence(_grid(64, 8)(a), _grid(64, 8)(b)), (8, 8), (8, 8))["links"])),
+}
+for _name in _LOCAL:
+    QUERIES[_name] = lambda s, d, n=_name: X.kernel_pairs(X.text_pairs(s, d), {n: _LOCAL[n]}, KERNEL_SIDE).select("pair_id", "value", "error")
+
+
+@query("container_scan")
+def container_scan(spark, sf_dir):
+    """Texts' rasters as PNG files with a note, read back: format, picture digest, chunks, notes."""
+    import pyarrow as pa
+
+    from .sources import images
+
+    def write(batches):
+        for batch in batches:
+            out = [images.encode_png(r, {"Title": str(i)}) if (r := X.raster_of(t, X.SIDE)) is not None else b"" for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
+
+    files = _docs(spark, sf_dir).select("doc_id", "text").mapInArrow(write, "doc_id long, content binary")
+    found = images.read_containers(files, "doc_id")
+    return found.select("doc_id", "format", "payload", F.size("segments").alias("n_segments"), F.try_element_at("text", F.lit("Title")).alias("title"))
+
+
 # ---- metadata ------------------------------------------------------------------------------------
 
 
@@ -437,6 +511,16 @@ def jpegq(spark, sf_dir):
     return tables.join(N.estimated_quality(tables), "table").select("o_orderkey", "quality")
 
 
+@query("icc", """WITH p AS (SELECT page_id, sha256(regexp_extract(html, '<style>([^<]*)', 1)) AS d, regexp_extract(html, 'lang="([a-z]*)', 1) AS name FROM pages)
+SELECT a.page_id AS pair_id, CASE WHEN a.d = b.d THEN CASE WHEN a.name = b.name THEN 'partial' ELSE 'match' END WHEN a.name = b.name THEN 'partial' ELSE 'none' END AS verdict FROM p a JOIN p b ON b.page_id = a.page_id + 1""")
+def icc(spark, sf_dir):
+    """Equal profiles match (only partly where a common name tells no more); equal names agree partly."""
+    p = X.table(spark, sf_dir, "pages").select("page_id", F.sha2(F.regexp_extract("html", "<style>([^<]*)", 1), 256).alias("d"), F.regexp_extract("html", 'lang="([a-z]*)', 1).alias("name"))
+    b = p.select((F.col("page_id") - 1).alias("page_id"), F.col("d").alias("d2"), F.col("name").alias("name2"))
+    same = F.col("name") == F.col("name2")
+    return p.join(b, "page_id").select(F.col("page_id").alias("pair_id"), F.when(F.col("d") == F.col("d2"), F.when(same, "partial").otherwise("match")).when(same, "partial").otherwise("none").alias("verdict"))
+
+
 @query("file_format", """SELECT page_id, CASE WHEN contains(lower(substr(html, 1, 256)), '<svg') THEN 'SVG' ELSE 'unknown' END AS format FROM pages""")
 def file_format(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", N.file_format(F.encode("html", "UTF-8")).alias("format"))

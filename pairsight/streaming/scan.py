@@ -11,9 +11,10 @@ from ..plans.catalogue import COUNTED, FLAGGED
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; the same plan over a table or a stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    # watermarks need a time with a zone; tables keep the zone-less time they have
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return out.select(F.col("window.start").cast(events.schema["ts"].dataType).alias("start"), "event_type", "n", "total")
 
 
 def running_totals(results: DataFrame) -> DataFrame:
