@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,21 +61,16 @@ _EQUAL = """SELECT doc_id, first_id, n_same, CASE WHEN n_same > 1 THEN 'identica
 JOIN (SELECT text, min(doc_id) AS first_id, count(*) AS n_same FROM documents GROUP BY text) USING (text)"""
 
 
-@F.pandas_udf("string")
-def _sha3(s):
-    import hashlib
+def _hashlib(make):
+    """A digest that Spark lacks, over Arrow batches; made with a session at hand."""
 
-    return s.map(lambda x: hashlib.sha3_256(x.encode()).hexdigest())
+    def digest(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: make(x.encode()).hexdigest())
 
+    return F.pandas_udf(digest, "string")("text")
 
-@F.pandas_udf("string")
-def _blake2b(s):
-    import hashlib
 
-    return s.map(lambda x: hashlib.blake2b(x.encode(), digest_size=32).hexdigest())
-
-
-for _name, _fn in (("sha512", lambda: F.sha2(F.encode("text", "UTF-8"), 512)), ("crc32", lambda: F.lpad(F.lower(F.hex(F.crc32(F.encode("text", "UTF-8")))), 8, "0")), ("sha3", lambda: _sha3("text")), ("blake2b", lambda: _blake2b("text"))):
+for _name, _fn in (("sha512", lambda: F.sha2(F.encode("text", "UTF-8"), 512)), ("crc32", lambda: F.lpad(F.lower(F.hex(F.crc32(F.encode("text", "UTF-8")))), 8, "0")), ("sha3", lambda: _hashlib(hashlib.sha3_256)), ("blake2b", lambda: _hashlib(partial(hashlib.blake2b, digest_size=32)))):
     query(f"exact_{_name}", _EQUAL)(lambda s, d, f=_fn: N.copies(_docs(s, d), "doc_id", f()).drop("digest"))
 
 _PAYLOAD = "sha256(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'))"
