@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, map_batches, materialise, mix, small, texts_of, windows
+from .common import Words, map_batches, materialise, mix, release_memory, small, texts_of, windows
 from .components import connected_components
 
 
@@ -248,6 +248,8 @@ def _cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, s: Set
     def solve(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
         ids, first = np.unique(ids, return_index=True)
+        if len(ids) > 1000:
+            release_memory()
         texts = t.column("text").take(pa.array(first)).combine_chunks()
         sets = shingle_sets(texts_of(texts), s.words)
         root = resolve(ids, sets, s)
