@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import planes as P
+from . import registration as R
 
 
 def greedy_assignment(candidates: DataFrame) -> DataFrame:
@@ -167,3 +168,90 @@ def arrow_pattern(links: DataFrame) -> DataFrame:
     near = F.hypot(c("m_ax") - c("m_bx"), c("m_ay") - c("m_by")) < 0.1
     pattern = F.when((rx < -0.6) & (ry > 0.6), "mirrored").when((rx > 0.6) & (ry < -0.6), "flipped").when((rx > 0.6) & (ry > 0.6), F.when(grow > 1.25, "enlarged").when(grow < 0.8, "shrunk").when(near, "in place").otherwise("moved")).otherwise("rearranged")
     return agg.select("pair_id", pattern.alias("pattern"))
+
+
+def consistent(points: DataFrame) -> DataFrame:
+    """(pair_id, matches, inliers, sane) of matched points (pair_id, ia, xa, ya, xb, yb): one homography a pair."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ia")
+        a, b = pdf[["xa", "ya"]].to_numpy(), pdf[["xb", "yb"]].to_numpy()
+        h, ok = R.ransac(b, a)
+        w, hgt = (np.ptp(b, axis=0) + 1).astype(int) if len(b) else (1, 1)
+        return pd.DataFrame({"pair_id": [pdf["pair_id"].iloc[0]], "matches": [len(pdf)], "inliers": [int(ok.sum())], "sane": [R.sane(h, int(w), int(hgt))]})
+
+    return points.groupBy("pair_id").applyInPandas(one, "pair_id long, matches long, inliers long, sane boolean")
+
+
+def overlap_quad(h: np.ndarray, shape_a: tuple, shape_b: tuple, grid: int = 40) -> tuple[float, float, float, float]:
+    """Shares of A and of B that overlap when B is drawn into A by ``h``, zoom and turn in degrees."""
+
+    def share(m, inner, outer):
+        y, x = (np.mgrid[:grid, :grid] + 0.5) / grid
+        p = R.project(m, np.stack([x.ravel() * outer[1], y.ravel() * outer[0]], 1))
+        return float(((p >= 0) & (p <= [inner[1], inner[0]])).all(1).mean())
+
+    zoom = float(np.sqrt(abs(h[0, 0] * h[1, 1] - h[0, 1] * h[1, 0])))
+    return share(np.linalg.inv(h), shape_b, shape_a), share(h, shape_a, shape_b), zoom, float(np.degrees(np.arctan2(h[1, 0], h[0, 0])))
+
+
+def unmatched_pieces(best: np.ndarray, limit: float) -> list[tuple[int, int, int, int]]:
+    """Boxes of 4-connected cells without a good match, of at least 3 cells and 3 % of the grid."""
+    label, n = P.components(best < limit)
+    out = []
+    for k in range(1, n + 1):
+        y, x = np.nonzero(label == k)
+        if len(y) >= max(3, 0.03 * best.size):
+            out.append((int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1))
+    return out
+
+
+def dense_shifts(a: np.ndarray, b: np.ndarray, tile: int = 16, reach: int = 4, least_sd: float = 6.0, least: float = 0.45) -> np.ndarray:
+    """(rows, cols, 2): how far each tile of A has moved in B (dy, dx), smoothed by medians of neighbours."""
+    ga, gb = P.grey(a).astype(float), np.pad(P.grey(b).astype(float), reach, mode="edge")
+    rows, cols = ga.shape[0] // tile, ga.shape[1] // tile
+    out = np.full((rows, cols, 2), np.nan)
+    for i in range(rows):
+        for j in range(cols):
+            t = ga[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile]
+            if t.std() < least_sd:
+                continue
+            s = R.template_scores(gb[i * tile : (i + 1) * tile + 2 * reach, j * tile : (j + 1) * tile + 2 * reach], t)
+            y, x = np.unravel_index(s.argmax(), s.shape)
+            if s[y, x] >= least:
+                out[i, j] = y - reach, x - reach
+    pad = np.pad(out, ((1, 1), (1, 1), (0, 0)), constant_values=np.nan)
+    win = np.lib.stride_tricks.sliding_window_view(pad, (3, 3), axis=(0, 1)).reshape(rows, cols, 2, 9)
+    known = np.isfinite(win).any(-1)
+    smooth = np.zeros((rows, cols, 2))
+    smooth[known] = np.nanmedian(win[known], axis=-1)
+    return smooth
+
+
+def compare_region(a: np.ndarray, b: np.ndarray, box: tuple[int, int, int, int], without: list[tuple[int, int, int, int]] = ()) -> dict:
+    """Likeness inside a box of two aligned images, without nested boxes unless less than a quarter is left."""
+    from .fullreference import ssim_plane
+
+    x1, y1, x2, y2 = box
+    mask = np.ones((y2 - y1, x2 - x1), bool)
+    for u1, v1, u2, v2 in without:
+        mask[max(0, v1 - y1) : max(0, v2 - y1), max(0, u1 - x1) : max(0, u2 - x1)] = False
+    if mask.mean() < 0.25:
+        mask[:] = True
+    p, q = a[y1:y2, x1:x2], b[y1:y2, x1:x2]
+    de = P.ciede2000(P.lab(p), P.lab(q))[mask]
+    ssim = ssim_plane(P.luma(p), P.luma(q)) if min(p.shape[:2]) >= 16 else float("nan")
+    return {"ssim": ssim, "delta_e": float(de.mean()), "changed": float((de > 6).mean())}
+
+
+def crop_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Half of the hue-saturation histograms' correlation and half of SSIM at 96 cells a side; never below 0."""
+    from .descriptors import correlation
+    from .fullreference import ssim
+
+    def hist(z):
+        h = P.hsv8(z).reshape(-1, 3).astype(int)
+        return np.bincount(np.minimum(h[:, 0] * 16 // 256, 15) * 8 + h[:, 1] * 8 // 256, minlength=128) / len(h)
+
+    small = [P.resize(z, 96, 96, "bilinear") for z in (a, b)]
+    return 0.5 * max(0.0, correlation(hist(a), hist(b))) + 0.5 * max(0.0, ssim(*small))

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -402,6 +403,76 @@ def arrow_pattern(spark, sf_dir):
     return localise.arrow_pattern(links.select("pair_id", at("va", 0).alias("ax"), at("va", 1).alias("ay"), at("vb", 0).alias("bx"), at("vb", 1).alias("by"), F.col("sim").alias("w")))
 
 
+@query("xfeat")
+def xfeat(spark, sf_dir):
+    """Learned keypoints: mutual matches of descriptors, then inliers of one homography for each image pair."""
+    v = X.vectors(spark, sf_dir)
+    at = lambda name, k: (100 * F.get(name, F.lit(k)).cast("double"))
+    m = N.mutual_matches(v).join(v.select(F.col("vec_id").alias("ia"), F.col("v").alias("va")), "ia").join(v.select(F.col("vec_id").alias("ib"), F.col("v").alias("vb")), "ib")
+    points = m.select("pair_id", "ia", at("va", 0).alias("xa"), at("va", 1).alias("ya"), at("vb", 0).alias("xb"), at("vb", 1).alias("yb"))
+    found = localise.consistent(points)
+    ratio = F.col("inliers") / F.col("matches")
+    return found.select("pair_id", "matches", "inliers", "sane", D.keypoint_verdict(F.col("inliers"), ratio, F.col("sane")).alias("verdict"))
+
+
+@query("objects")
+def objects(spark, sf_dir):
+    """Share of the larger image's objects that pair up, and of those the share that is unchanged."""
+    det = X.detections(spark, sf_dir)
+    pairs = object_assignment(spark, sf_dir).groupBy("pair_id").agg(F.count(F.lit(1)).alias("paired"), F.count_if(F.col("score") >= 0.8).alias("unchanged"))
+    n = det.groupBy("img").agg(F.count(F.lit(1)).alias("n"))
+    both = n.select(F.col("img").alias("pair_id"), F.col("n").alias("na")).join(n.select((F.col("img") - 1).alias("pair_id"), F.col("n").alias("nb")), "pair_id").join(pairs, "pair_id", "left")
+    most = F.greatest("na", "nb")
+    share, same = F.coalesce("paired", F.lit(0)) / most, F.coalesce("unchanged", F.lit(0)) / most
+    return both.select("pair_id", F.round(share, 6).alias("paired"), F.round(same, 6).alias("unchanged"), F.when(same >= 0.8, "match").when(share >= 0.5, "partial").otherwise("none").alias("verdict"))
+
+
+@query("label_for", f"""WITH {_DET}, p AS (SELECT a.img AS img, a.k AS k, b.k AS lk, ({_IOU}*1.0/((a.x2-a.x1)*(a.y2-a.y1)))*({_IOU}*1.0/((b.x2-b.x1)*(b.y2-b.y1))) AS s FROM det a JOIN det b ON a.img = b.img AND a.k <> b.k WHERE (b.x2-b.x1)*(b.y2-b.y1) <= 0.85*512*512),
+r AS (SELECT img, k, lk, s, row_number() OVER (PARTITION BY img, k ORDER BY s DESC, lk) AS n FROM p WHERE s >= 0.2) SELECT img, CAST(k AS INT) AS k, CAST(lk AS INT) AS label_k, round(s, 6) AS score FROM r WHERE n = 1""")
+def label_for(spark, sf_dir):
+    """For each region the detection that covers it and is covered by it best."""
+    det = X.detections(spark, sf_dir)
+    cols = ("k", "x1", "y1", "x2", "y2")
+    a = det.select("img", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = det.select("img", *[F.col(c).alias(f"b_{c}") for c in cols])
+    rows = a.join(b, "img").where((F.col("a_k") != F.col("b_k")) & (N.area("b_") <= 0.85 * 512 * 512))
+    both = N.overlap("a_", "b_")
+    rows = rows.withColumn("s", (both / N.area("a_")) * (both / N.area("b_"))).where("s >= 0.2")
+    best = rows.groupBy("img", "a_k").agg(F.max(F.struct("s", (-F.col("b_k")).alias("neg"))).alias("m"))
+    return best.select("img", F.col("a_k").cast("int").alias("k"), (-F.col("m.neg")).cast("int").alias("label_k"), F.round("m.s", 6).alias("score"))
+
+
+@query("details", "SELECT a.p_partkey AS pair_id, 'brand' AS property, a.p_brand AS a, b.p_brand AS b, a.p_brand = b.p_brand AS same FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT a.p_partkey, 'size', CAST(a.p_size AS VARCHAR), CAST(b.p_size AS VARCHAR), a.p_size = b.p_size FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT a.p_partkey, 'type', a.p_type, b.p_type, a.p_type = b.p_type FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def details(spark, sf_dir):
+    """Properties of both sides of a pair, one a row, and whether they agree."""
+    p = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("stack(3, 'brand', p_brand, 'size', cast(p_size as string), 'type', p_type) as (property, value)"))
+    b = p.select((F.col("id") - 1).alias("id"), "property", F.col("value").alias("b"))
+    return p.join(b, ["id", "property"]).select(F.col("id").alias("pair_id"), "property", F.col("value").alias("a"), "b", (F.col("value") == F.col("b")).alias("same"))
+
+
+@query("aspect_label", "SELECT p_partkey, CAST(p_size // gcd(p_size, p_partkey % 7 + 1) AS VARCHAR) || ':' || CAST((p_partkey % 7 + 1) // gcd(p_size, p_partkey % 7 + 1) AS VARCHAR) AS aspect, least(p_size, p_partkey % 7 + 1) < 64 AS tiny FROM part")
+def aspect_label(spark, sf_dir):
+    """Aspect ratio in lowest terms, and the caveat for very small images."""
+    w, h = F.col("p_size").cast("long"), F.col("p_partkey") % 7 + 1
+    # sides up to 64 here: the largest common divisor by trying all
+    gcd = F.array_max(F.filter(F.sequence(F.lit(1), F.least(w, h)), lambda d: (w % d == 0) & (h % d == 0)))
+    return X.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(":", (w / gcd).cast("long"), (h / gcd).cast("long")).alias("aspect"), (F.least(w, h) < 64).alias("tiny"))
+
+
+@query("robustness")
+def robustness(spark, sf_dir):
+    """Share of rasters whose edited copy is within the match line, for each edit and hash: per-edit recall."""
+    from .operators.edits import EDITS
+
+    names = ("phash", "dhash", "pdq", "blockMean0")
+    kernels = {f"{e}:{h}": (lambda a, b, e=e, h=h: imagehash.KERNELS[h](a, EDITS[e](a))) for e in EDITS for h in names}
+    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.col("text").alias("b"))
+    rows = X.kernel_pairs(texts, kernels, KERNEL_SIDE).select(F.split("engine_id", ":").alias("e"), "value", "error")
+    line = F.create_map(*[x for h in names for x in (F.lit(h), F.lit(float(catalogue.thresholds(h)[1])))])
+    hit = (F.col("value") <= F.element_at(line, F.col("e")[1])).cast("double")
+    return rows.groupBy(F.col("e")[0].alias("edit"), F.col("e")[1].alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("recall"), F.max("error").alias("error"))
+
+
 def _grid(side: int, cells: int):
     def describe(img):
         z = registration.P.luma(img).reshape(cells, side // cells, cells, side // cells).swapaxes(1, 2).reshape(cells * cells, -1)
@@ -413,6 +484,9 @@ def _grid(side: int, cells: int):
 _LOCAL = {
     "differences": lambda a, b: float(len(localise.find_differences(a, b))),
     "evidence_sum": lambda a, b: float(localise.evidence(_grid(64, 8)(a), _grid(64, 8)(b)).sum()),
+    "overlap": lambda a, b: float(min(localise.overlap_quad(np.array([[0.9, 0.05, 4], [-0.05, 0.9, 6], [0, 0, 1]]), a.shape, b.shape)[:2])),
+    "unmatched_pieces": lambda a, b: float(len(localise.unmatched_pieces(localise.evidence(_grid(64, 8)(a), _grid(64, 8)(b)).max(1).reshape(8, 8), 0.02))),
+    "aligned_shift": lambda a, b: float(np.abs(localise.dense_shifts(a, np.roll(a, 2, 1))[..., 1]).max()),
     "copy_links": lambda a, b: float(sum(x["weight"] for x in localise.copy_links(localise.evidence(_grid(64, 8)(a), _grid(64, 8)(b)), (8, 8), (8, 8))["links"])),
 }
 for _name in _LOCAL:

@@ -166,3 +166,17 @@ def test_ncd_bytes():
     assert fullreference.ncd_bytes(x, x) < 0.1
     assert fullreference.ncd_bytes(b"abc" * 500, bytes(RNG.integers(0, 256, 1500, dtype=np.uint8))) > 0.9
     assert zlib.crc32(b"") == 0
+
+
+def test_regions_of_images():
+    assert localise.overlap_quad(np.eye(3), A.shape, A.shape) == pytest.approx((1, 1, 1, 0))
+    assert localise.overlap_quad(np.array([[1, 0, 48.0], [0, 1, 0], [0, 0, 1]]), A.shape, A.shape)[:2] == pytest.approx((0.5, 0.5))
+    assert (localise.dense_shifts(A, np.roll(A, (1, 2), (0, 1)))[1:-1, 1:-1] == [1, 2]).all()
+    assert localise.unmatched_pieces(np.array([[0, 0, 1.0], [0, 1, 1], [1, 1, 0]]), 0.5) == [(0, 0, 2, 2)]
+    same = localise.compare_region(A, A, (10, 10, 40, 40), [(12, 12, 20, 20)])
+    assert same == {"ssim": pytest.approx(1), "delta_e": 0, "changed": 0}
+    assert localise.crop_similarity(A, A) == pytest.approx(1) and localise.crop_similarity(A, B) < 0.6
+    grid = np.array([(y, x, y, x + 1) for y in range(4) for x in range(4)])
+    found = localise.match_regions(np.concatenate([grid, [[20, 20, 3, 3]]]), np.full(17, 0.8))
+    assert len(found) == 1 and found[0]["size"] == 16 and found[0]["b"] == (0, 1, 3, 4)
+    assert len(localise.spread_lines(grid, np.arange(16.0), gap=1)) == 4
