@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch between the JVM and a Python worker, at most.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,18 +72,25 @@ def crc_mod(col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | dict]], schema: str | object, text: str | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | dict]], schema: str | object, text: str | None = None, done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over slices of at most about CHUNK_BYTES of the ``text`` column.
 
-    ``fn`` maps a slice to dicts of columns (or record batches).
+    ``fn`` maps a slice to dicts of columns (or record batches). The session's limit on the bytes of
+    Arrow batches is lowered to BATCH_BYTES if it is higher: both ends hold whole batches. ``done``
+    runs at a task's end; workers live on, so what they hold then counts against later stages.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in df.sparkSession.conf.get(limit) if c.isdigit() or c == "-")
+    if int(digits or 0) <= 0 or int(digits) > BATCH_BYTES:
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back when asked to
         for batch in batches:
             release_memory()
             for part in slices(batch, text):
@@ -92,6 +101,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
                     del out
             del batch
+        _powers.clear()
+        if done is not None:
+            done()
         release_memory()
 
     return df.mapInArrow(run, struct)

@@ -20,6 +20,7 @@ id passes through. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from array import array
@@ -66,9 +67,10 @@ class Tokens:
     runs. Texts with the tokenizer's added tokens go the library's way.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, path: str | None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads hold memory
         from tokenizers import Tokenizer
 
         if path is None:
@@ -101,8 +103,8 @@ class Tokens:
         if self.known + len(h) > self.SLOTS // 2:
             self.clear()
         parts = []
-        for k in range(0, len(runs), 10_000):
-            parts += [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(runs[k : k + 10_000], add_special_tokens=False)]
+        for k in range(0, len(runs), 2000):
+            parts += [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(runs[k : k + 2000], add_special_tokens=False)]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.frombuffer(b"".join([x.tobytes() for x in parts]), np.uint32)
         n, used = self.known, int(self.at[self.known])
@@ -168,6 +170,11 @@ def tokens_of(path: str | None) -> Tokens:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop tokenizers and what they have learnt: a task's end."""
+    _loaded.clear()
+
+
 # ---- cutting stock ----------------------------------------------------------------------------
 
 
@@ -297,7 +304,7 @@ def pack(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
         yield {"doc_id": batch.column(0).take(rows)} | out
 
     fields = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = map_batches(source.withColumn("fills", filler), cut, fields, "text")
+    pieces = map_batches(source.withColumn("fills", filler), cut, fields, "text", done=forget)
     # the task's number and the place in it name a row: fixed once written
     pieces = materialise(pieces.withColumn("part", F.spark_partition_id()).withColumn("uid", F.monotonically_increasing_id()))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
