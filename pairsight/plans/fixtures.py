@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 16
@@ -18,17 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def codes(text: Column, n: int) -> Column:
-    """n samples of 0 to 255: code points, around and around the text, times 7 modulo 256."""
-    head = F.substring(text, 1, n)
-    size = F.length(text)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.pmod(F.ascii(F.substring(head, k % size + 1, F.lit(1))) * 7, F.lit(256)))
-
-
 def packed(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     """(doc_id, rgb): samples of a raster, row by row; texts without characters have none."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    return docs.select("doc_id", codes(F.col("text"), 3 * side * side).alias("rgb"))
+
+    def run(batches):
+        for batch in batches:
+            rgb = [raster_of(t, side).ravel() for t in batch.column(1).to_pylist()]
+            offsets = np.arange(len(rgb) + 1, dtype=np.int32) * (3 * side * side)
+            flat = np.concatenate(rgb).astype(np.int32) if rgb else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "rgb"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, rgb array<int>")
 
 
 def pixels(rasters: DataFrame, side: int = SIDE) -> DataFrame:
