@@ -380,7 +380,7 @@ def file_format(data: Column) -> Column:
     return (
         F.when(head.startswith("89504E470D0A1A0A"), "PNG").when(head.startswith("FFD8FF"), "JPEG").when(head.startswith("47494638"), "GIF").when(head.startswith("424D"), "BMP")
         .when(head.startswith("00000100"), "ICO").when(head.startswith("49492A00") | head.startswith("4D4D002A"), "TIFF").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "WebP")
-        .when(F.substring(head, 9, 8) == "66747970", "ISO-BMFF").when(F.lower(F.decode(F.substring(data, 1, 256), "UTF-8")).contains("<svg"), "SVG").otherwise("unknown")
+        .when(F.substring(head, 9, 8) == "66747970", "ISO-BMFF").when(F.lower(F.decode(F.substring(data, 1, 256), "ISO-8859-1")).contains("<svg"), "SVG").otherwise("unknown")
     )
 
 
