@@ -19,8 +19,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_scored(docs, quality_mil.fit_model(docs, labels), threshold=0.7)
 
 
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """Rows repeated under one id are one document: of them the one with the longest text stays (ties by the columns' order).
+
+    Rows with null ids are documents of their own.
+    """
+    many = common.materialise(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    n = many.count()
+    if not n:
+        return docs
+    many = common.small(many, n)
+    rows = docs.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("__length"), *docs.columns)).alias("__row"))
+    return docs.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(rows.select([F.col("__row")[c].alias(c) for c in docs.columns]))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group (five-word shingles, 0.8)."""
+    """Keeps the document with the smallest id of each near-duplicate group (five-word shingles, 0.8), in one row."""
+    docs = one_row_an_id(docs)
     groups = near_dedup.near_duplicates(docs, near_dedup.Settings(words=5, percent=80))
     gone = common.materialise(groups.where(~F.col("kept")).select("doc_id").distinct())
     return docs.join(common.small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
@@ -30,8 +45,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Removes words of windows that occur elsewhere; a document left without words goes.
 
     Documents that lose nothing keep their text as it is; of others the words left are joined by
-    spaces and n_chars is counted again.
+    spaces and n_chars is counted again. A row repeated under its id is no repetition.
     """
+    docs = one_row_an_id(docs)
     cut = substring_dedup.remove_repeated(docs, substring_dedup.Settings(window=35)).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
     joined = docs.join(cut, docs["doc_id"] == F.col("cut_id"), "left").where(F.col("cut_id").isNull() | (F.col("kept_text") != ""))
     text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept_text"))

@@ -369,6 +369,26 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert sum(r["length"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sum(r["length"] for r in out)
 
 
+def test_rows_repeated_under_one_id_stay_one_document(spark, make):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    a, b, c, d, passage = text(120), text(90), text(60), text(60), text(40)
+    c, d = f"{c} {passage}", f"{d} {passage}"
+    rows = [(1, a), (1, a), (2, b), (3, c), (3, c), (4, d), (5, a), (6, f"{b} more"), (6, b), (7, None), (7, None), (None, "no id at all"), (None, "no id at all")]
+    docs = make(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["near-duplicates"](spark, docs, "").cache()
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert once.columns == docs.columns
+    assert kept(once) == sorted([(1, a), (2, b), (3, c), (4, d), (7, None), (None, "no id at all"), (None, "no id at all")], key=str)
+    want = sorted([(1, a), (2, b), (3, c[: -len(passage) - 1]), (4, d[: -len(passage) - 1]), (7, None), (None, "no id at all"), (None, "no id at all")], key=str)
+    assert kept(stages["repeated passages"](spark, once, "")) == want
+    # the stage by itself, too
+    assert kept(stages["repeated passages"](spark, make([(1, a), (1, a), (3, c), (3, c), (4, d)]), "")) == sorted(x for x in want if x[0] in (1, 3, 4))
+
+
 def test_registered_queries():
     import __spark_entry__
 
