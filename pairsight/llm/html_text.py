@@ -3,7 +3,10 @@
 A page is cut into blocks at block-level tags (one <br> is white space, two end a block). Whole
 elements that never hold the article are left out: scripts, styles, forms, menus, headers (but for
 the article's own), footers, sidebars, notices, adverts and reader comments, known by their tag,
-role or by words of their class or id.
+role or by words of their class or id. Words of class or id, a form's and a header's tag are evidence
+only: such an element stays if it holds the page's <main>, an <article> of more text than all that
+isn't left out, or most of the page's text (comments: if nothing good is outside). Classes that state
+what a page has or allows (has-sidebar, comments-open) say nothing.
 
 First pass, each block by itself: link density, length in code points and stop-word density (the
 best of the languages listed) make it good, bad, nearly good, or short (undecided). Where the page
@@ -46,12 +49,17 @@ BLOCK = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th blockquote pre section article main header footer aside nav form fieldset figure figcaption address body html hr center details summary menu dialog hgroup search".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Never left out by their class, but for an <article> that is a comment.
+WHOLE = frozenset("html body article main".split())
 #: An open element that a new one of the group ends.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookies?|consent|gdpr|notice|notices|alert|nav|navbar|navigation|menu|menus|sidebar|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|widgets|toolbar|skip|pagination|pager|tags|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Classes that tell a state of the page, not what an element is.
+STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
+READERS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
 HEADER_HINT = re.compile(r"(?:^|[\s_-])(?:site|page|top|main|global)?[_-]?header(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -75,41 +83,52 @@ class Block:
     linked: int
     article: bool
     left_out: bool
+    #: Elements around it that may be left out, each with the articles that it holds around the block.
+    inside: tuple[tuple[Wrapper, tuple[int, ...]], ...] = ()
 
 
-def hinted(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is left out with all it holds."""
-    if tag in BOILER or (tag == "header" and not in_article):
-        return True
-    if tag in ("body", "html", "article", "main") and "comment" not in attrs.lower():
-        return False
+@dataclass(eq=False)
+class Wrapper:
+    """An element to be left out: always, or unless it holds the page's text (named; readers: comments)."""
+
+    kind: str
+    kept: bool = False
+
+
+def hinted(tag: str, attrs: str, in_article: bool) -> str:
+    """Whether an element is left out with all it holds: always, named, readers, or empty for no."""
+    kind = "always" if tag in BOILER and tag != "form" else ""
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role":
-            if value.lower() in ROLES:
-                return True
+            if value.lower() in ROLES and tag not in WHOLE:
+                kind = "named" if value.lower() == "form" and not kind else "always"
         elif name == "aria-hidden":
-            if value.lower() == "true":
-                return True
-        elif name != "hidden":
-            plain = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            if value.lower() == "true" and tag not in WHOLE:
+                kind = "always"
+        elif name != "hidden" and not kind and (tag not in WHOLE or (tag == "article" and READERS.search(value))):
+            plain = " ".join(x for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).split() if not STATE.fullmatch(x))
             if HINT.search(plain) or (not in_article and HEADER_HINT.search(plain)):
-                return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I)) if "hidden" in attrs.lower() and "aria-hidden" not in attrs.lower() else False
+                kind = "readers" if READERS.search(plain) else "named"
+    if tag not in WHOLE and "hidden" in attrs.lower() and "aria-hidden" not in attrs.lower() and re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I):
+        kind = "always"
+    return kind or ("named" if tag == "form" or (tag == "header" and not in_article) else "")
 
 
 def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = [0]
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, marks the article
+    stack: list[tuple[str, Wrapper | None, int]] = []  # tag, whether it may be left out, number if it marks the article (main: negative)
+    marked = 0
     breaks = 0
 
     def end_block() -> None:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                found.append(Block(text, linked[0], any(x[2] for x in stack), any(x[1] for x in stack)))
+                inside = tuple((x[1], tuple(y[2] for y in stack[i:] if y[2])) for i, x in enumerate(stack) if x[1])
+                found.append(Block(text, linked[0], any(x[2] for x in stack), False, inside))
             parts.clear()
         linked[0] = 0
 
@@ -168,16 +187,44 @@ def blocks_of(page: str) -> list[Block]:
         marks = tag in ("article", "main") or 'role="main"' in attrs
         inside = any(x[2] for x in stack)
         if not any(x[0] in SKIP for x in stack):
-            stack.append((tag, hinted(tag, attrs, inside), marks))
+            kind = hinted(tag, attrs, inside)
+            marked += marks
+            number = (marked if tag == "article" else -marked) if marks else 0
+            stack.append((tag, Wrapper(kind) if kind else None, number))
         if tag in RAW:
             shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = shut.end() if shut else size
             if stack and stack[-1][0] == tag:
                 stack.pop()
     end_block()
+    settle(found)
     return found
 
 
+def settle(found: list[Block]) -> None:
+    """Decides which elements are left out: never one that holds the article or most of the page's text."""
+    seen = [(b, max(len(b.text) - b.linked, 0)) for b in found if all(w.kind != "always" for w, _ in b.inside)]
+    total = sum(n for _, n in seen)
+    held: dict[Wrapper, int] = {}
+    articles: dict[int, int] = {}
+    for b, n in seen:
+        for w, marks in b.inside:
+            held[w] = held.get(w, 0) + n
+        for k in {k for _, marks in b.inside for k in marks}:
+            articles[k] = articles.get(k, 0) + n
+    for kind, by_text in (("named", True), ("named", False), ("readers", True), ("readers", False)):
+        free = [(b, n) for b, n in seen if all(w.kept for w, _ in b.inside)]
+        outside = sum(n for _, n in free)
+        if kind == "readers" and any(first_pass(b, False, Rules()) == "good" for b, _ in free):
+            break
+        for b, _ in seen:
+            for w, marks in b.inside:
+                if w.kind == kind and (2 * held[w] > total or min(marks, default=0) < 0 if by_text else any(articles[k] > outside for k in marks)):
+                    w.kept = True
+    for b in found:
+        b.left_out = any(not w.kept for w, _ in b.inside)
+
+
 def first_pass(block: Block, marked: bool, r: Rules) -> str:
     """good, bad, near (nearly good) or short (both undecided)."""
     n = len(block.text)

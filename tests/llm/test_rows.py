@@ -109,6 +109,20 @@ def test_html_two_passes_without_article():
     assert got == [long.strip(), "Short one.", long.strip()]
 
 
+def test_html_wrappers_of_the_article_stay():
+    long = "This is the text of the story and it is about what the people of the town did when they had no water for a week, and how all of them got on with it in the end as they do. " * 2
+    body = f"<p>{long}</p><p>Short one.</p><p>{long}</p>"
+    want = [long.strip(), "Short one.", long.strip()]
+    junk = f"<div class='sidebar'><p>We sell what you want to have.</p></div><div id='comments'><p>I am with you on all of this.</p></div>"
+    for wrap in ("<div class='content has-sidebar'>{}</div>", "<div class='layout no-sidebar'>{}</div>", "<div class='page-widget'>{}</div>", "<div class='post with-comments'>{}</div>", "<div class='social-enabled'>{}</div>", "<form id='aspnetForm'>{}</form>", "<body class='comments-open'>{}</body>"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+            assert html_text.main_text(wrap.format(inner + junk)).split("\n") == want, (wrap, inner[:9])
+    assert html_text.main_text(f"<article class='post comments-open'>{body}{junk}</article>").split("\n") == want
+    # comments as articles, of more text than the story's, stay out
+    many = "<div id='comments'>" + f"<article class='comment'><p>{long}</p></article>" * 5 + "</div>"
+    assert html_text.main_text(f"<div>{body}</div>{many}").split("\n") == want
+
+
 def test_html_broken_markup_and_odd_rows(spark):
     for page in ("<p>open <b>bold", "<article><p>a", "<!-- never closed <p>x</p>", "<script>never closed", "a < b > c", "<p class='x>y", "&am", "<" * 5000, "<div>" * 3000 + "deep", "</p></div>", "<p>a</p>" * 2000):
         html_text.main_text(page)
