@@ -16,6 +16,12 @@ neighbours; if those differ, the nearer one's by blocks in between, and good whe
 nearly good block; before the first and after the last decided block, that block's label; good if
 a page has none.
 
+Stop words judge only what the lists cover. If blocks of many stop words hold less than a quarter of a
+page's prose, no listed language fits it, and its long blocks of few links are good if they are over
+``Rules.long`` or hold the end of a sentence, or else undecided. The same goes
+for a block whose letters are mostly not Latin, where stop words don't make it good. If no block of
+a page is good, the nearly good ones are.
+
 Null or empty pages give an empty text. Broken markup never fails: an unclosed element ends with
 its parent, an unclosed comment or script at the end of the page. Repeated rows repeat; only the
 named columns are kept. Work is linear in the page, and each page is a row's own work.
@@ -38,6 +44,10 @@ STOP_WORDS = {
     "en": "a about after all also an and any are as at be been but by can could do for from had has have he her his i if in into is it its more no not of on one or other our she so some than that the their them then there these they this to was we were what when which who will with would you your",
     "de": "aber als am an auch auf aus bei bin bis da das dass dem den der des die doch du ein eine einem einen einer er es für hat hatte ich ihr im in ist ja kann mit nach nicht noch nur oder sich sie sind so über um und uns von vor war was wenn wie wir wird zu zum zur",
     "fr": "à au aux avec ce ces cette comme dans de des du elle en est et été être eu il ils je la le les leur lui mais même ne nous on ont ou où par pas plus pour qu que qui sa sans se ses si son sont sur tout un une vous y",
+    "it": "a ad al alla anche che chi ci come con da dal dalla dei del della delle di dove e è ed era essere fu gli ha hanno i il in io la le lei lo loro ma mi nei nel nella noi non o per perché più quando quella quello questa questo se si sono su sua suo tra tu tutti un una uno",
+    "pt": "a ao aos as até com como da das de do dos e é ela ele eles em entre era essa esse está eu foi há isso já mais mas me muito na nas não no nos o os ou para pela pelo por quando que quem se sem ser seu sua são também tem um uma você",
+    "nl": "aan al als bij dan dat de der deze die dit door een en er had heb heeft het hij hoe ik in is je kan maar me meer met mijn na naar niet nog nu of om omdat onder ook op over te tot uit van veel voor was wat we wel wij wordt ze zich zij zijn zo zou",
+    "ru": "а без бы был была были было быть в вы где да для до его ее её если есть еще ещё же за и из или им их к как когда кто ли мы на не него нет но о об он она они от по под при с со так там то только у уже что чтобы это этот я",
     "es": "a al algo como con cuando de del desde donde el ella ellos en entre era es esta este esto ha han hasta hay la las le les lo los más me mi muy no nos o para pero por porque que se ser si sin sobre su sus también un una uno y ya yo",
 }
 STOP = [frozenset(words.split()) for words in STOP_WORDS.values()]
@@ -66,6 +76,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
+SENTENCE = re.compile(r"[.!?…](?=[\s\"'»”’)]|$)|[。！？．।؟۔።]")
 
 
 @dataclass(frozen=True)
@@ -225,8 +236,26 @@ def settle(found: list[Block]) -> None:
         b.left_out = any(not w.kept for w, _ in b.inside)
 
 
-def first_pass(block: Block, marked: bool, r: Rules) -> str:
-    """good, bad, near (nearly good) or short (both undecided)."""
+def stop_density(text: str) -> float:
+    words = [w.lower() for w in WORD.findall(text)]
+    return max(sum(w in s for w in words) for s in STOP) / max(len(words), 1)
+
+
+def foreign(text: str) -> bool:
+    """Whether most letters are beyond the Latin ones."""
+    letters = [c > "\u024f" for c in text if c.isalpha()]
+    return 2 * sum(letters) > len(letters)
+
+
+def unlisted(blocks: list[Block], r: Rules) -> bool:
+    """Whether no listed language fits the page: most of its prose has few stop words."""
+    prose = [b for b in blocks if not b.left_out and len(b.text) >= r.short and b.linked <= r.links * len(b.text)]
+    fits = sum(len(b.text) for b in prose if stop_density(b.text) >= r.stop_high)
+    return 4 * fits < sum(len(b.text) for b in prose)
+
+
+def first_pass(block: Block, marked: bool, r: Rules, no_list: bool = False) -> str:
+    """good, bad, near (nearly good) or short (both undecided); ``no_list``: of a page in no listed language."""
     n = len(block.text)
     density = block.linked / n
     if block.left_out or (marked and not block.article):
@@ -237,10 +266,11 @@ def first_pass(block: Block, marked: bool, r: Rules) -> str:
         return "good" if n >= r.short or block.linked == 0 else "short"
     if n < r.short:
         return "short" if block.linked == 0 else "bad"
-    words = [w.lower() for w in WORD.findall(block.text)]
-    stop = max(sum(w in s for w in words) for s in STOP) / max(len(words), 1)
-    if stop >= r.stop_high:
+    stop = stop_density(block.text)
+    if stop >= r.stop_high and not no_list:
         return "good" if n > r.long else "near"
+    if no_list or foreign(block.text):
+        return "good" if n > r.long or SENTENCE.search(block.text) else "near"
     return "near" if stop >= r.stop_low else "bad"
 
 
@@ -276,7 +306,11 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
         return ""
     blocks = blocks_of(page)
     marked = any(b.article and not b.left_out for b in blocks)
-    keep = second_pass([first_pass(b, marked, rules) for b in blocks])
+    no_list = not marked and unlisted(blocks, rules)
+    labels = [first_pass(b, marked, rules, no_list) for b in blocks]
+    if "good" not in labels:
+        labels = ["good" if x == "near" else x for x in labels]
+    keep = second_pass(labels)
     return "\n".join(b.text for b, ok in zip(blocks, keep, strict=True) if ok)
 
 

@@ -123,6 +123,22 @@ def test_html_wrappers_of_the_article_stay():
     assert html_text.main_text(f"<div>{body}</div>{many}").split("\n") == want
 
 
+def test_html_languages_without_a_word_list():
+    nav, foot = "<nav><a href=a>Menu</a></nav>", "<footer>Imprint</footer>"
+    texts = {
+        "it": "Il paese era rimasto senza acqua per una settimana e tutti gli abitanti si erano messi a scavare un pozzo nella piazza davanti alla chiesa, finché non trovarono quella che cercavano.",
+        "fi": "Kylän asukkaat kaivoivat viikon ajan uutta kaivoa kirkon edustalle, koska vanha lähde oli kuivunut eikä vettä riittänyt enää kenellekään. Lopulta he löysivät vettä.",
+        "hu": "A falu lakói egy hétig ástak új kutat templomuk előtt, mert régi forrásuk kiszáradt, így senkinek sem jutott elegendő víz, amíg végül mélyebbre ásva találtak eleget.",
+        "ru": "Целую неделю жители деревни рыли новый колодец перед церковью, потому что старый источник высох и воды уже не хватало никому, пока наконец они не нашли её.",
+        "zh": "村民们花了整整一个星期在教堂前挖掘新的水井，因为原来的泉水已经干涸，谁也没有足够的水可以饮用，直到最后他们终于在更深的地方找到了水，大家都非常高兴，并且一起庆祝了整整三天三夜才各自回家休息。",
+        "ja": "村人たちは古い泉が枯れてしまい誰にも十分な水がなくなったため、教会の前で一週間かけて新しい井戸を掘り続け、ついに深いところで水を見つけてみんなで喜び合い、三日三晩にわたって盛大に祝ったということです。",
+    }
+    for lang, text in texts.items():
+        for body in (text, text * 3):
+            assert len(body) >= 70
+            assert html_text.main_text(f"{nav}<div><p>{body}</p><p>{body}</p></div>{foot}") == f"{body}\n{body}", lang
+
+
 def test_html_broken_markup_and_odd_rows(spark):
     for page in ("<p>open <b>bold", "<article><p>a", "<!-- never closed <p>x</p>", "<script>never closed", "a < b > c", "<p class='x>y", "&am", "<" * 5000, "<div>" * 3000 + "deep", "</p></div>", "<p>a</p>" * 2000):
         html_text.main_text(page)
