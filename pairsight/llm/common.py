@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
 CHUNK_BYTES = 1 << 19
+#: Rows that one vectorised step works on, at most.
+CHUNK_ROWS = 1024
 #: Bytes of an Arrow batch between the JVM and a Python worker, at most.
 BATCH_BYTES = 4 << 20
 
@@ -25,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    The session's spark.checkpoint.dir is used; where it is unset (tests on one machine) a local
-    folder is set for the session.
+    The session's spark.checkpoint.dir is used. Where it is unset, a session on one machine (master
+    local) sets a local folder for itself; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.pairsight.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="pairsight-")
@@ -73,7 +78,7 @@ def crc_mod(col: Column, mod: int) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | dict]], schema: str | object, text: str | None = None, done: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow over slices of at most about CHUNK_BYTES of the ``text`` column.
+    """mapInArrow over slices of at most about CHUNK_BYTES of the ``text`` column and CHUNK_ROWS rows.
 
     ``fn`` maps a slice to dicts of columns (or record batches). The session's limit on the bytes of
     Arrow batches is lowered to BATCH_BYTES if it is higher: both ends hold whole batches. ``done``
@@ -101,7 +106,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
                     del out
             del batch
-        _powers.clear()
         if done is not None:
             done()
         release_memory()
@@ -117,16 +121,17 @@ def release_memory() -> None:
 
 
 def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
-    if text is None or batch.num_rows == 0:
-        if batch.num_rows:
-            yield batch
+    if batch.num_rows == 0:
+        return
+    if text is None:
+        yield batch
         return
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > CHUNK_BYTES:
+        if i > start and (total + n > CHUNK_BYTES or i - start >= CHUNK_ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
@@ -144,10 +149,11 @@ def texts_of(column: pa.Array) -> list[bytes]:
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first k bytes of eight.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -160,16 +166,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        n = max(n, CHUNK_BYTES + 4096)
-        inverse = pow(_BASE, -1, 2**64)
-        for key, base in (("p", _BASE), ("q", inverse)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["p"], _powers["q"]
+def run_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes raw[start:end], independent for different seeds.
+
+    Eight bytes at a time go through a bijective finaliser, so runs of equal length up to eight
+    bytes never collide; runs beyond 64 bytes take BLAKE2.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(9), strides=(1,))
+    h = mix((size.astype(np.uint64) + np.uint64(seed + 1)) * _STEP)
+    h = mix(h ^ (eight[starts] & _MASK[np.minimum(size, 8)]))
+    for k in range(8, _LONG, 8):
+        rest = np.flatnonzero(size > k)
+        if not len(rest):
+            break
+        h[rest] = mix(h[rest] * _STEP ^ (eight[starts[rest] + k] & _MASK[np.minimum(size[rest] - k, 8)]))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
 
 
 class Words:
@@ -192,23 +209,43 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        p, q = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * p[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * q[self.starts]
-        return mix(h ^ ((self.ends - self.starts).astype(np.uint64) << np.uint64(48)))
+        return run_hashes(self.raw, self.starts, self.ends, seed)
+
+    def joined(self, gone: np.ndarray | None = None) -> list[bytes]:
+        """Each text's words, without those flagged in ``gone``, joined by single spaces."""
+        left = self.starts, self.ends
+        first = self.first
+        if gone is not None:
+            keep = np.concatenate(([0], np.cumsum(~gone)))
+            left, first = (self.starts[~gone], self.ends[~gone]), keep[first]
+        size = left[1] - left[0] + 1  # with the separator that follows, which becomes a space
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[left[0]] += 1
+        edge[left[1] + 1] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+        data = np.where(_SEP[self.data[inside]], np.uint8(32), self.data[inside]).tobytes()
+        at = np.concatenate(([0], np.cumsum(size)))[first].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``size`` consecutive word hashes (over the whole array)."""
+    """A 64-bit hash of every run of ``size`` consecutive word hashes (over the whole array).
+
+    Runs are built by doubling, with a finaliser at every step, so that no arrangement of few
+    different words cancels out.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    p, q = powers(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * p[: len(words)], out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * q[:n])
+    run, length, at = words, 1, 0
+    out = np.full(n, size, np.uint64)
+    while True:
+        if size & length:
+            out = mix(out * _STEP + run[at : at + n])
+            at += length
+        if 2 * length > size:
+            return out
+        run = mix(run[:-length] * _STEP + run[length:])
+        length *= 2

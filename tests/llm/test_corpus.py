@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pairsight.llm import components, mixing, near_dedup, packing, quality_rules, substring_dedup
+from pairsight.llm import common, components, mixing, near_dedup, packing, quality_rules, substring_dedup
 
 from .conftest import CLASH, ODD
 
@@ -158,6 +158,44 @@ def test_repeated_passages_of_odd_rows(make):
     assert substring_dedup.remove_repeated(make([])).count() == 0
 
 
+@pytest.mark.parametrize("shard_words", [60_000, 40])
+def test_repeated_windows_of_mixed_spans(make, shard_words):
+    """Few words in near-equal texts: minimizers have many different spans, in and beyond a shard's bound."""
+    rng = np.random.default_rng(4)
+    base = [list(rng.choice(list("abcde"), 60)) for _ in range(3)]
+    rows = []
+    for i in range(40):
+        w = list(base[i % 3])
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(len(w)))] = str(rng.choice(list("abcde")))
+        rows.append((i, " ".join(w)))
+    rows += [(50, " ".join(["x"] * 30)), (51, "a b " * 25)]
+    s = substring_dedup.Settings(window=9, gram=3, shard_words=shard_words)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeated(make(rows), s).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_removed(rows, 9), strict=True))
+
+
+def test_repeated_passages_of_shared_and_null_ids(make):
+    passage = " ".join(f"p{i}" for i in range(50))
+    only_null = " ".join(f"q{i}" for i in range(40))
+    rows = [(1, f"head head {passage}"), (1, f"{passage} tail"), (2, only_null), (None, only_null), (None, "unique words"), (3, only_null + " z"), (3, only_null + " z")]
+    rows += [(4, " ".join(f"v{i}" for i in range(40)))]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeated(make(rows)).collect())
+    assert got == sorted((i or -1, *facts) for (i, _), facts in zip(rows, brute_removed(rows, 35), strict=True))
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - x for x in bits]
+    a, b = bytes(97 + x for x in bits), bytes(98 - x for x in bits)
+    for n in (8, 16, 32, 64, 128, 1024, 2048):
+        h = common.Words([a[:n], b[:n]]).hashes()
+        assert h[0] != h[1]
+        codes = np.array([3, 5], np.uint64)
+        assert common.windows(codes[bits[:n]], n)[0] != common.windows(codes[[1 - x for x in bits[:n]]], n)[0]
+
+
 def test_automata_match_brute_force(make):
     rng = np.random.default_rng(2)
     reference = [" ".join(rng.choice(list("abcd"), 60)) for _ in range(4)]
