@@ -9,7 +9,7 @@
    patterns with the program's dual values until none improves it.
 3. Patterns' counts are rounded down and realised: documents are ranked within their bin, and the
    rank alone gives sequence and place. What rounding leaves over is placed largest first.
-4. The filling is strung along one line and cut to the room that sequences have left, in their
+4. The filling, in segments of at most ``WIDTH`` tokens, is strung along one line and cut to the room that sequences have left, in their
    order; filling beyond that makes full sequences, the last cut at powers of two, which need no
    padding. Only where the room exceeds the filling is there padding.
 
@@ -64,10 +64,11 @@ class Tokens:
 
     The word BPE drops white space, never joins across it, and always parts ASCII letters and
     digits from other ASCII characters (the apostrophe aside), so a text's ids are those of its
-    runs. Texts with the tokenizer's added tokens go the library's way.
+    runs. A run is found by one hash and recognised by a second, independent one. Texts with the
+    tokenizer's added tokens go the library's way. The table is emptied when half full.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 19
 
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads hold memory
@@ -82,26 +83,26 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.keys, self.checks, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
         self.ids, self.at, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of the hashes, -1 for new ones."""
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Numbers of the runs with these two hashes, -1 for new ones."""
         out = np.full(len(h), -1, np.int32)
         slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
         rest = np.arange(len(h))
         while len(rest):
             key = self.keys[slot]
-            hit = key == h[rest]
+            hit = (key == h[rest]) & (self.checks[slot] == check[rest])
             out[rest[hit]] = self.place[slot[hit]]
             go = ~hit & (key != 0)
             rest, slot = rest[go], (slot[go] + 1) & (self.SLOTS - 1)
         return out
 
-    def _learn(self, h: np.ndarray, runs: list[str]) -> None:
-        """New hashes and their runs."""
-        if self.known + len(h) > self.SLOTS // 2:
-            self.clear()
+    def _learn(self, h: np.ndarray, check: np.ndarray, runs: list[str]) -> None:
+        """New runs and their hashes."""
+        if len(h) > self.SLOTS // 2:
+            raise ValueError("more runs at once than the table holds")
         parts = []
         for k in range(0, len(runs), 2000):
             parts += [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(runs[k : k + 2000], add_special_tokens=False)]
@@ -121,7 +122,7 @@ class Tokens:
             first = np.zeros(len(rest), bool)
             first[np.unique(slot, return_index=True)[1]] = True
             put = free & first
-            self.keys[slot[put]], self.place[slot[put]] = h[rest[put]], n + rest[put]
+            self.keys[slot[put]], self.checks[slot[put]], self.place[slot[put]] = h[rest[put]], check[rest[put]], n + rest[put]
             go = ~put
             rest, slot = rest[go], np.where(free[go], slot[go], (slot[go] + 1) & (self.SLOTS - 1))
 
@@ -139,18 +140,18 @@ class Tokens:
         w.ends = np.flatnonzero(np.concatenate(((before > 0) & ((kind == 0) | begins), [False])))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.searchsorted(w.starts, np.concatenate(([0], np.cumsum(lengths + 1))))
-        h = w.hashes()
+        h, check = w.hashes(), w.hashes(1)
         h[h == 0] = 1
-        found = self._find(h)
+        found = self._find(h, check)
         new = np.flatnonzero(found < 0)
         if len(new):
-            unique, where = np.unique(h[new], return_index=True)
-            where = new[where]
-            before_known = self.known
-            self._learn(unique, [w.raw[a:b].decode() for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True)])
-            found = self._find(h) if self.known < before_known + len(unique) else found
-            if (found < 0).any():
-                found[found < 0] = self._find(h[found < 0])
+            if self.known + len(new) > self.SLOTS // 2:  # emptied: all of this call's runs are learnt anew
+                self.clear()
+                new = np.arange(len(h))
+            order = new[np.lexsort((check[new], h[new]))]
+            where = order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(check[order]) != 0)))]
+            self._learn(h[where], check[where], [w.raw[a:b].decode() for a, b in zip(w.starts[where].tolist(), w.ends[where].tolist(), strict=True)])
+            found[new] = self._find(h[new], check[new])
         a = self.at[found]
         n = self.at[found + 1] - a
         ends = np.concatenate(([0], np.cumsum(n)))
@@ -170,11 +171,6 @@ def tokens_of(path: str | None) -> Tokens:
     return _loaded[path]
 
 
-def forget() -> None:
-    """Drop tokenizers and what they have learnt: a task's end."""
-    _loaded.clear()
-
-
 # ---- cutting stock ----------------------------------------------------------------------------
 
 
@@ -203,7 +199,9 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and their fractional counts, which meet the demand with the fewest sequences.
 
-    Revised simplex from one pattern a size; ends when no pattern prices out by more than ``gap``.
+    Revised simplex from one pattern a size; ends when no pattern prices out by more than ``gap``,
+    after 200 steps without gain, or after ``rounds`` steps. Ending early costs padding, never a document:
+    whatever the patterns leave is placed afterwards.
     """
     n = len(sizes)
     patterns = np.diag(np.maximum(capacity // sizes, 1)).astype(float)
@@ -267,13 +265,30 @@ def realise(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple]
     return out
 
 
+#: Tokens of a segment of filling and of a bucket of the line: a segment meets at most two buckets.
+WIDTH = 1 << 16
+
+
 # ---- the table --------------------------------------------------------------------------------
 
 
+#: Parts of one block of the running sums.
+PARTS = 1024
+
+
+def _before(sums: DataFrame, part: str) -> DataFrame:
+    """(part, __before): the sum of __n over all parts before; in two levels, so that no task holds all parts."""
+    first = Window.unboundedPreceding
+    block = F.floor(F.col(part) / PARTS).alias("__block")
+    blocks = sums.groupBy(block).agg(F.sum("__n").alias("__m"))
+    blocks = blocks.select("__block", F.coalesce(F.sum("__m").over(Window.orderBy("__block").rowsBetween(first, -1)), F.lit(0)).alias("__base"))
+    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__block").orderBy(part).rowsBetween(first, -1)), F.lit(0))
+    return sums.select(part, "__n", block).withColumn("__inner", inner).join(blocks, "__block").select(part, (F.col("__base") + F.col("__inner")).alias("__before"))
+
+
 def _running(df: DataFrame, part: str, order: str, value: str, name: str) -> DataFrame:
     """``name``: the sum of ``value`` over all rows before, by (part, order), part by part."""
-    sums = df.groupBy(part).agg(F.sum(value).alias("__n"))
-    sums = sums.select(part, F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    sums = _before(df.groupBy(part).agg(F.sum(value).alias("__n")), part)
     own = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("__own", own).join(sums, part).withColumn(name, F.col("__before") + F.col("__own")).drop("__own", "__before")
 
@@ -292,19 +307,19 @@ def pack(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
         out: dict = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "ids")}
         for row, (ids, fills) in enumerate(zip(tokens_of(s.tokenizer).encode(texts_of(batch.column(1))), batch.column(2).to_pylist(), strict=True)):
             ids = ids.tobytes() + end.tobytes()
-            for at in range(0, len(ids), len(ids) if fills else whole):
-                piece = ids if fills else ids[at : at + whole]
+            for at in range(0, len(ids), 4 * WIDTH if fills else whole):
+                piece = ids[at : at + (4 * WIDTH if fills else whole)]
                 out["row"].append(row)
                 out["start"].append(at // 4)
                 out["length"].append(len(piece) // 4)
                 out["ids_crc32"].append(zlib.crc32(piece))
                 out["doc_tokens"].append(len(ids) // 4)
-                out["ids"].append(ids if fills else None)
+                out["ids"].append(piece if fills else None)
         rows = pa.array(out.pop("row"), pa.int64())
         yield {"doc_id": batch.column(0).take(rows)} | out
 
     fields = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = map_batches(source.withColumn("fills", filler), cut, fields, "text", done=forget)
+    pieces = map_batches(source.withColumn("fills", filler), cut, fields, "text")
     # the task's number and the place in it name a row: fixed once written
     pieces = materialise(pieces.withColumn("part", F.spark_partition_id()).withColumn("uid", F.monotonically_increasing_id()))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -334,7 +349,7 @@ def pack(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
     room = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < s.length)
     room = room.withColumns({"room": s.length - F.col("used"), "part": F.floor(F.col("sequence_id") / 4096)})
     room = _running(room, "part", "sequence_id", "room", "from").select("sequence_id", "used", "room", "from")
-    line = materialise(_running(pieces.where(F.col("ids").isNotNull()), "part", "uid", "length", "first").select("doc_id", "ids", "doc_tokens", "first", "length"))
+    line = materialise(_running(pieces.where(F.col("ids").isNotNull()), "part", "uid", "length", "first").select("doc_id", "ids", F.col("start").alias("begin"), "doc_tokens", "first", "length"))
     total_room = (room.agg(F.sum("room")).first()[0]) or 0
     tokens = (line.agg(F.sum("length")).first()[0]) or 0
     n_full = full.count()
@@ -348,12 +363,11 @@ def pack(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
     beyond = spark.range(extra // s.length).select((F.lit(n_patterned + n_full) + F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("used"), F.lit(s.length).cast("long").alias("room"), (F.lit(total_room) + F.col("id") * s.length).alias("from"))
     slots = room.unionByName(beyond).unionByName(spark.createDataFrame(tail, "sequence_id long, used long, room long, `from` long"))
     # overlaps of two sets of intervals: met in buckets of the line, counted in the bucket where they begin
-    width = 1 << 16
-    bucket = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(a) + F.col(n) - 1) / width))).alias("bucket")
+    bucket = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / WIDTH), F.floor((F.col(a) + F.col(n) - 1) / WIDTH))).alias("bucket")
     begin, stop = F.greatest("from", "first"), F.least(F.col("from") + F.col("room"), F.col("first") + F.col("length"))
     met = slots.select("*", bucket("from", "room")).join(line.select("*", bucket("first", "length")), "bucket")
-    met = met.where((begin < stop) & (F.floor(begin / width) == F.col("bucket")))
-    start = begin - F.col("first")
+    met = met.where((begin < stop) & (F.floor(begin / WIDTH) == F.col("bucket")))
+    start = F.col("begin") + begin - F.col("first")
     fills = met.select(
         "doc_id", start.alias("start"), (stop - begin).alias("length"), F.crc32(F.expr("substring(ids, int(4 * (greatest(`from`, first) - first) + 1), int(4 * (least(`from` + room, first + length) - greatest(`from`, first))))")).alias("ids_crc32"),
         "doc_tokens", "sequence_id", (F.col("used") + begin - F.col("from")).alias("offset"),

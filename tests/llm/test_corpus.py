@@ -184,6 +184,47 @@ def test_repeated_passages_of_shared_and_null_ids(make):
     assert got == sorted((i or -1, *facts) for (i, _), facts in zip(rows, brute_removed(rows, 35), strict=True))
 
 
+def test_tokens_of_equal_polynomials(make):
+    """Words whose polynomial hashes cancel out, and a table too small for what comes."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - x for x in bits]
+    a, b = bytes(97 + x for x in bits), bytes(98 - x for x in bits)
+    tokens = packing.Tokens(None)
+    for t, got in zip([a, b], tokens.encode([a, b]), strict=True):
+        assert got.tolist() == tokens.tokenizer.encode(t.decode(), add_special_tokens=False).ids
+    tokens.SLOTS = 256
+    tokens.clear()
+    for k in range(8):
+        texts = [" ".join(f"w{i * 37 % 101}x{k}" for i in range(j, j + 30)).encode() for j in (0, 20)]
+        for t, got in zip(texts, tokens.encode(texts), strict=True):
+            assert got.tolist() == tokens.tokenizer.encode(t.decode(), add_special_tokens=False).ids
+
+
+def test_packing_of_a_very_long_filling(make):
+    """A filling of many segments and buckets: every id in one piece, sequences gapless."""
+    s = packing.Settings(filler=1)
+    rows = packing.pack(make(["alpha beta gamma delta " * 60_000, "short text", None]), s).collect()
+    by, places = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    tokens = packing.Tokens(None)
+    for i, t in [(0, "alpha beta gamma delta " * 60_000), (1, "short text"), (2, "")]:
+        ids = np.append(tokens.encode([t.encode()])[0], np.uint32(1)).astype("<u4")
+        at = 0
+        for start, length, total, crc in sorted(by[i]):
+            assert (start, total, crc) == (at, len(ids), zlib.crc32(ids[at : at + length].tobytes()))
+            at += length
+        assert at == len(ids)
+    for pieces in places.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_hashes_tell_thue_morse_words_apart():
     bits = [0]
     for _ in range(11):
