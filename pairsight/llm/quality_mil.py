@@ -3,9 +3,9 @@
 A text is a bag of passages of ``Settings.words`` words. Each passage is encoded (hashed n-grams
 of letters and of character classes, shares of repeated words, then one tanh layer), a gated attention (tanh gate times
 sigmoid gate) weighs the passages, and a logistic unit reads the weighted sum. All weights are
-learnt in numpy from labels of whole texts, on a bounded sample: ``Settings.each`` rows of either
-label with the least id hashes, at most ``Settings.passages`` passages of each. Prediction reads
-every passage of whole texts.
+learnt in numpy from labels of whole texts, on a bounded sample of rows with all their passages: of
+either label the rows with the least id hashes, at most ``Settings.each`` and as many as fit
+``Settings.sample_bytes`` together. Prediction reads every passage of whole texts.
 
 Null or empty text: one empty passage. Without labels of both kinds every score is the share of
 label 1 (0 without any). Repeated rows get equal scores; only the id is kept.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import LETTERS, SHAPE, Passages
-from .toxicity import _WHITE, Constant, passage_sample, prior_shift, sample_of
+from .toxicity import _WHITE, Constant, passages_of, prior_shift, sample_of
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,8 @@ class Settings:
     hidden: int = 24
     gate: int = 12
     each: int = 1500
-    passages: int = 8
+    #: UTF-8 bytes of the sampled rows of one label, at most; longer rows aren't sampled.
+    sample_bytes: int = 5 << 20
     epochs: int = 12
     rate: float = 0.01
     decay: float = 1e-4
@@ -122,16 +123,15 @@ class Model:
 
 def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> Model | Constant:
     s = settings or Settings()
-    chosen = sample_of(docs, labels, label_col, {0: s.each, 1: s.each}, id_col, "quality")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "id", "text")
-    got = sorted(passage_sample(source, s.words, s.passages, lower=False))
-    if len({label for label, _, _ in got}) < 2:
-        return Constant(float(np.mean([label for label, _, _ in got])) if got else 0.0)
+    got = sample_of(docs, labels, label_col, {0: s.each, 1: s.each}, s.sample_bytes, id_col, text_col, "quality")
+    if len({label for label, _ in got}) < 2:
+        return Constant(float(np.mean([label for label, _ in got])) if got else 0.0)
     rng = np.random.default_rng(3)
-    bags = [(label, ps) for label, _, ps in got]
+    bags = [(label, passages_of(x.encode(), s.words, _WHITE)) for label, x in got]
     # short texts are rare among long passages: the first few words of one passage serve as a text too
-    bags += [(label, [b" ".join(ps[rng.integers(len(ps))].split()[: rng.integers(1, 16)])]) for label, _, ps in got]
-    x, _ = encode([p for _, ps in bags for p in ps], s, 1 << 30)
+    bags += [(label, [b" ".join(ps[rng.integers(len(ps))].split()[: rng.integers(1, 16)])]) for label, ps in bags]
+    flat = [p for _, ps in bags for p in ps]
+    x = np.concatenate([encode(flat[i : i + 1024], s, 1 << 30)[0] for i in range(0, len(flat), 1024)])
     first = np.concatenate(([0], np.cumsum([len(ps) for _, ps in bags])[:-1]))
     y = np.array([label for label, _ in bags])
     model = Model(x, first, y, s)

@@ -7,9 +7,9 @@ ones. A text is scored by its most toxic passage, so long texts don't dilute a f
 maximum is calibrated on labelled rows that training didn't see. As labels belong to whole texts,
 later rounds of training take only those passages of a toxic text that score highest.
 
-Learning takes a bounded sample: ``Settings.positives`` and ``Settings.negatives`` rows with the
-least id hashes and of each text at most ``Settings.passages`` passages. Prediction reads whole
-texts. Null or empty text: the score of an empty passage. Without labels of both kinds every score
+Learning takes a bounded sample of rows, each with its whole text: of either label the rows with the
+least id hashes, at most ``Settings.positives`` and ``Settings.negatives`` of them and as many as fit
+``Settings.sample_bytes`` together. Prediction reads whole texts. Null or empty text: the score of an empty passage. Without labels of both kinds every score
 is the share of label 1 (0 without any). Repeated rows get equal scores; only the id is kept.
 """
 
@@ -34,7 +34,8 @@ class Settings:
     words: int = 4
     positives: int = 2000
     negatives: int = 3000
-    passages: int = 128
+    #: UTF-8 bytes of the sampled rows of one label, at most; longer rows aren't sampled.
+    sample_bytes: int = 6 << 20
     epochs: int = 6
     rate: float = 1.0
     decay: float = 1e-7
@@ -173,55 +174,54 @@ def prior_shift(labels: DataFrame, label_col: str, taken: np.ndarray) -> float:
     return float(every - np.log(((taken == 1).sum() + 0.5) / ((taken != 1).sum() + 0.5)))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, sizes: dict[int, int], id_col: str, salt: str) -> DataFrame:
-    """(id, label) of the labelled ids with the least hashes, bounded for each label; ties by id.
+def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, sizes: dict[int, int], room: int, id_col: str, text_col: str, salt: str) -> list[tuple[int, str]]:
+    """(label, whole text) of labelled rows, in the order of their ids' hashes.
 
-    An id with both labels takes the larger one.
+    Of each label the rows with the least hashes (ties by id), at most ``sizes`` and ``room`` bytes in
+    all; a row that alone exceeds the room is passed over. An id with both labels takes the larger one,
+    an id with several rows their greatest text.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    ids = []
+    least = []
     for label, n in sizes.items():
         h = F.xxhash64(F.col("id").cast("string"), F.lit(salt))
-        ids += [(r["id"], label) for r in known.where(F.col("label") == label).orderBy(h, "id").limit(n).collect()]
-    return spark.createDataFrame(ids, known.schema)
+        least += [(r["id"], label, k) for k, r in enumerate(known.where(F.col("label") == label).orderBy(h, "id").limit(n).collect())]
+    schema = f"id {known.schema['id'].dataType.simpleString()}, label int, place int"
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(spark.createDataFrame(least, schema)), "id")
+    size = {(r["label"], r["place"]): r["n"] for r in rows.groupBy("label", "place").agg(F.max(F.octet_length("text")).alias("n")).collect()}
+    chosen = []
+    for label in sizes:
+        left = room
+        for k in sorted(k for x, k in size if x == label):
+            n = size[label, k]
+            if n > left and n <= room:
+                break
+            if n <= room:
+                left -= n
+                chosen.append((label, k))
+    picked = rows.join(F.broadcast(spark.createDataFrame(chosen, "label int, place int")), ["label", "place"])
+    got = picked.groupBy("label", "place").agg(F.max("text").alias("text")).collect()
+    return [(r["label"], r["text"]) for r in sorted(got, key=lambda r: (r["label"], r["place"]))]
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> Model | Constant:
     s = settings or Settings()
-    chosen = sample_of(docs, labels, label_col, {1: s.positives, 0: s.negatives}, id_col, "toxicity")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "id", "text")
-    got = sorted(passage_sample(source, s.words, s.passages))
-    if len({label for label, _, _ in got}) < 2:
-        return Constant(float(np.mean([label for label, _, _ in got])) if got else 0.0)
-    passages = [p for _, _, ps in got for p in ps]
-    doc = np.repeat(np.arange(len(got)), [len(ps) for _, _, ps in got])
-    y = np.array([label for label, _, _ in got])
-    model = Model(passages, doc, y, s)
+    got = sample_of(docs, labels, label_col, {1: s.positives, 0: s.negatives}, s.sample_bytes, id_col, text_col, "toxicity")
+    y = np.array([label for label, _ in got])
+    if len(set(y.tolist())) < 2:
+        return Constant(float(y.mean()) if got else 0.0)
+    bags = [passages_of(x.lower().encode(), s.words, LETTERS) for _, x in got]
+    model = Model([p for ps in bags for p in ps], np.repeat(np.arange(len(got)), [len(ps) for ps in bags]), y, s)
     model.shift += prior_shift(labels, label_col, y)
     return model
 
 
-def passage_sample(source: DataFrame, words: int, most: int, lower: bool = True) -> list[tuple]:
-    """(label, id, passages) of rows (label, id, text): passages spread evenly over the text.
-
-    Texts of one passage's words but huge words are bounded too (4096 bytes a passage).
-    """
-
-    def fn(batch: pa.RecordBatch):
-        texts = [(x or "") for x in batch.column(2).to_pylist()]
-        out = []
-        for t in texts:
-            raw = (t.lower() if lower else t).encode()
-            p = Passages([raw], LETTERS if lower else _WHITE, words)
-            body = b" " + raw + b" "
-            n = len(p.starts)
-            pick = range(n) if n <= most else [i * n // most for i in range(most)]
-            out.append([p.bytes_of(i, body)[:4096] for i in pick])
-        yield {"label": batch.column(0), "id": batch.column(1), "passages": out}
-
-    schema = f"label int, id {source.schema['id'].dataType.simpleString()}, passages array<binary>"
-    return [(r["label"], r["id"], [bytes(p) for p in r["passages"]]) for r in map_batches(source, fn, schema, "text").collect()]
+def passages_of(text: bytes, words: int, table: bytes) -> list[bytes]:
+    """All passages of a whole text."""
+    p = Passages([text], table, words)
+    body = b" " + text + b" "
+    return [p.bytes_of(i, body) for i in range(len(p.starts))]
 
 
 _WHITE = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
