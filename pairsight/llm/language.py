@@ -3,8 +3,9 @@
 First the language family, by one linear machine per family (one against the rest); then, within
 the family, a linear support vector machine for every pair of its languages, which vote. All
 machines read square roots of hashed letter n-gram counts, scaled to length one, and are trained
-in numpy by dual coordinate descent on a bounded sample (``Settings.sample`` rows per language,
-in the order of a hash of the id).
+in numpy by dual coordinate descent on a bounded sample: ``Settings.sample`` rows per language (fewer
+if there are so many languages that ``Settings.rows`` in all would be exceeded, but one at least), in
+the order of a hash of the id.
 
 Null text, or text without letters: ``und`` with score 0. Languages without a known family form
 a family of their own. With no labelled row at all everything is ``und``; with one language that
@@ -21,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches
 from .grams import LETTERS, gram_hash, inside_word, joined
@@ -51,10 +53,16 @@ class Settings:
     dims: int = 4096
     orders: tuple[int, ...] = (1, 2, 3)
     sample: int = 1200
+    #: Sampled rows of all languages together.
+    rows: int = 20_000
     cost: float = 10.0
     passes: int = 12
 
 
+#: Rows of features that are held at once.
+ROWS = 256
+
+
 def features(texts: list[bytes], s: Settings) -> np.ndarray:
     """Rows of unit length: square roots of hashed n-gram counts of lower-cased whole texts."""
     data, at = joined(texts, LETTERS)
@@ -69,20 +77,39 @@ def features(texts: list[bytes], s: Settings) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float, passes: int) -> np.ndarray:
+class Sparse:
+    """Rows of features as the places and values of what isn't zero, with a last column of ones."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], dims: int):
+        self.dims = dims
+        self.at = [np.append(i.astype(np.int32), np.int32(dims)) for i, _ in rows]
+        self.value = [np.append(v.astype(np.float32), np.float32(1)) for _, v in rows]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        return cls([(np.flatnonzero(row), row[row != 0]) for row in x], x.shape[1])
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        out = Sparse([], self.dims)
+        out.at, out.value = [self.at[i] for i in rows], [self.value[i] for i in rows]
+        return out
+
+
+def train_svm(x: Sparse, y: np.ndarray, cost: float, passes: int) -> np.ndarray:
     """L2-regularised squared-hinge machine by dual coordinate descent; the bias is the last weight."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     rng = np.random.default_rng(7)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    diag = (x.astype(np.float64) ** 2).sum(1) + 0.5 / cost
+    w, alpha = np.zeros(x.dims + 1, np.float32), [0.0] * len(y)
+    sign, half = y.tolist(), 0.5 / cost
+    diag = [float(v @ v) + half for v in x.value]
     for _ in range(passes):
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost
+        for i in rng.permutation(len(y)).tolist():
+            at, v = x.at[i], x.value[i]
+            g = sign[i] * float(w[at] @ v) - 1 + alpha[i] * half
             new = max(0.0, alpha[i] - g / diag[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += np.float32((new - alpha[i]) * sign[i]) * v
                 alpha[i] = new
-    return w.astype(np.float32)
+    return w
 
 
 def _prepared(texts: list[str | None]) -> list[bytes]:
@@ -90,13 +117,13 @@ def _prepared(texts: list[str | None]) -> list[bytes]:
 
 
 class Model:
-    def __init__(self, x: np.ndarray, labels: list[str], s: Settings):
+    def __init__(self, x: Sparse, labels: list[str], s: Settings):
         self.s, self.langs = s, sorted(set(labels))
         fam = np.array([family_of(x) for x in labels])
         self.families = sorted(set(fam))
         self.members = {f: [i for i, lang in enumerate(self.langs) if family_of(lang) == f] for f in self.families}
         y = np.array([self.langs.index(v) for v in labels])
-        fit = lambda rows, sign: train_svm(x[rows], sign, s.cost, s.passes)
+        fit = lambda rows, sign: train_svm(x.take(rows), sign, s.cost, s.passes)
         every = np.arange(len(y))
         self.top = np.stack([fit(every, np.where(fam == f, 1.0, -1.0)) for f in self.families]) if len(self.families) > 1 else None
         self.pairs = []
@@ -108,6 +135,10 @@ class Model:
                     self.pairs.append((f, a, b, fit(rows, np.where(y[rows] == a, 1.0, -1.0))))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        parts = [self._predict(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)]
+        return [lang for langs, _ in parts for lang in langs], np.concatenate([np.zeros(0), *(score for _, score in parts)])
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         x = features(_prepared(texts), self.s)
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         sure = np.ones((len(x), len(self.families)))
@@ -134,32 +165,36 @@ class Model:
 
 
 def fit_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", settings: Settings | None = None) -> Model | None:
-    """Learn from a bounded sample: ``settings.sample`` rows of each language with the least id hashes.
+    """Learn from a bounded sample: of each language the rows with the least id hashes.
 
-    The number of languages is bounded by 200 (the most frequent, then alphabetical). Features are
-    computed on the executors, so what reaches the driver doesn't depend on the texts' lengths.
+    One scan of narrow columns finds them; each task keeps its own least rows of a language before
+    they are shuffled. Features are computed on the executors and come sparse, so what reaches the
+    driver doesn't depend on the texts' lengths. Rows of one id are one row (the greatest text).
     """
     s = settings or Settings()
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang_col).isNotNull())
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()]
-    if not langs:
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return None
-    ranked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("language")).alias("h"))
-    picked = None
-    for lang in langs:
-        top = ranked.where(F.col("lang") == lang).orderBy("h", "id").limit(s.sample).select("id")
-        picked = top if picked is None else picked.union(top)
-    ids = spark.createDataFrame([(r[0],) for r in picked.collect()], picked.schema)
-    chosen = rows.join(F.broadcast(ids.dropDuplicates()), rows[id_col].eqNullSafe(ids["id"]), "left_semi").select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    h = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("language"))
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    ranked = rows.select("id", "lang", h.alias("h")).withColumn("rank", F.row_number().over(order))
+    most = max(1, min(s.sample, s.rows // n_langs))
+    picked = ranked.where(F.col("rank") <= most).select("id", "lang").distinct()
+    ids = spark.createDataFrame(picked.collect(), picked.schema)  # at most max(rows, languages)
+    chosen = rows.join(F.broadcast(ids), rows["id"].eqNullSafe(ids["id"]) & (rows["lang"] == ids["lang"]), "left_semi")
+    chosen = chosen.groupBy("id", "lang").agg(F.max("text").alias("text")).select("text", "lang")
 
     def fn(batch: pa.RecordBatch):
-        x = features(_prepared(batch.column(0).to_pylist()), s)
-        yield {"lang": batch.column(1), "x": [row.astype(np.float16).tobytes() for row in x]}
-
-    got = sorted((r["lang"], bytes(r["x"])) for r in map_batches(chosen, fn, "lang string, x binary", "text").collect())
-    x = np.stack([np.frombuffer(b, np.float16) for _, b in got]).astype(np.float32)
-    return Model(x, [lang for lang, _ in got], s)
+        texts = _prepared(batch.column(0).to_pylist())
+        x = [row for i in range(0, len(texts), ROWS) for row in features(texts[i : i + ROWS], s)]
+        at = [np.flatnonzero(row).astype(np.uint32) for row in x]
+        yield {"lang": batch.column(1), "at": [i.tobytes() for i in at], "value": [row[i].astype(np.float16).tobytes() for row, i in zip(x, at, strict=True)]}
+
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["value"])) for r in map_batches(chosen, fn, "lang string, at binary, value binary", "text").collect())
+    x = Sparse([(np.frombuffer(i, np.uint32), np.frombuffer(v, np.float16)) for _, i, v in got], s.dims)
+    return Model(x, [lang for lang, _, _ in got], s)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

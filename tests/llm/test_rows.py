@@ -85,8 +85,23 @@ def test_language_of_odd_rows(make):
     assert language.fit_model(make([])) is None and language.identify(make([]), model).count() == 0
 
 
+def test_languages_beyond_the_sample_bound(make):
+    """More languages than sampled rows: each keeps a row, none is left out."""
+    from pyspark.sql import functions as F
+
+    docs = make([f"{chr(97 + i // 10) * 3} {chr(97 + i % 10) * 4} zz" for i in range(60)]).withColumn("lang", F.concat(F.lit("x"), F.col("doc_id")))
+    model = language.fit_model(docs, settings=language.Settings(rows=10))
+    assert len(model.langs) == 60
+
+
+def test_features_of_many_short_rows_are_dealt_out():
+    model = language.Model(language.Sparse.of(language.features([b"the cat", b"der hund"], language.Settings())), ["en", "de"], language.Settings())
+    lang, score = model.predict(["the cat", "der hund", None] * 2000)
+    assert lang == ["en", "de", "und"] * 2000 and len(score) == 6000
+
+
 def test_language_hierarchy():
-    model = language.Model(language.features([b"the cat and the dog", b"der hund und die katze", b"le chat et le chien", b"el gato y el perro"] * 5, language.Settings()), ["en", "de", "fr", "es"] * 5, language.Settings())
+    model = language.Model(language.Sparse.of(language.features([b"the cat and the dog", b"der hund und die katze", b"le chat et le chien", b"el gato y el perro"] * 5, language.Settings())), ["en", "de", "fr", "es"] * 5, language.Settings())
     assert model.families == ["germanic", "romance"] and len(model.pairs) == 2
     assert model.predict(["el perro y el gato"])[0] == ["es"]
 
