@@ -2,15 +2,20 @@
 
 Base rules: too few words, or too large a share of words inside repeated 8-word windows. Beyond
 them, documents are rejected by the minimum covariance determinant: for every language and source,
-location and scatter of a transformed statistic vector are estimated on the half-sample of least
-determinant (concentration steps from medians), and a document goes if its squared Mahalanobis
-distance is beyond the chi-square point of ``Rules.tail``. Groups of fewer than ``Rules.group``
-documents use the estimate of all documents.
+location and scatter of a transformed statistic vector are those of the ``Rules.half`` of its rows
+with the least determinant, and a document goes if its squared Mahalanobis distance is beyond the
+chi-square point of ``Rules.tail``.
+
+The search is deterministic: three robust starts (correlation of hyperbolic tangents, spatial signs,
+and the inner half, all about median and quartiles) are concentrated ``Rules.steps`` times, and
+the one of least determinant stays. Medians and cuts are read from exact counts of narrow bins, so
+the result doesn't depend on how rows are partitioned. A group's estimate is weighed with that of
+all rows as by ``Rules.prior`` rows of the latter, so a small group leans on it and a large one doesn't.
 
 Null text: no words, so the base rule fails. Null language or source: a group of its own. Very
-long texts are one row's work. Ties (equal statistics) get equal verdicts; constant statistics
-are held apart from zero variance by a floor. Repeated rows repeat and count as often. Only the id
-and the new columns are kept, so other names can't clash. An empty table gives an empty result.
+long texts are one row's work. Ties (equal statistics) get equal verdicts; a floor under each
+variance keeps constant statistics apart from zero. Repeated rows repeat and count as often. Only the
+id and the new columns are kept, so other names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +26,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise, small
+from .common import discard, materialise, small
 
 #: What separates words, and the symbols that are counted.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,18 +40,19 @@ WINDOW = 8
 class Rules:
     least_words: int = 20
     repeat_percent: int = 30
-    half: float = 0.75
-    steps: int = 3
-    tail: float = 1e-6
-    group: int = 40
+    half: float = 0.5
+    steps: int = 4
+    tail: float = 1e-4
+    #: Rows' worth of the estimate of all rows in a group's estimate.
+    prior: int = 40
 
 
 #: Name, transformed statistic, least standard deviation that counts.
 STATISTICS: tuple[tuple[str, Callable[[], Column], float], ...] = (
     ("z_word", lambda: F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), 0.12),
     ("z_symbol", lambda: F.log1p(8 * F.col("n_symbols") / (F.col("n_words") + 1)), 0.25),
-    ("z_repeat", lambda: F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + 1)), 0.15),
-    ("z_lines", lambda: F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 1)), 0.2),
+    ("z_repeat", lambda: F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + 1)), 0.12),
+    ("z_lines", lambda: F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 1)), 0.11),
 )
 
 
@@ -125,39 +132,91 @@ def consistency(p: int, half: float) -> float:
     return half / inner
 
 
+#: Bins per unit of a statistic, and of the logarithm of a distance.
+FINE, LOG_FINE = 2048, 64
+
+
+def _cut(counts: DataFrame, by: list[str], share: float) -> DataFrame:
+    """(by, cut): the bin in which the ``share`` of the counted rows is reached."""
+    order = Window.partitionBy(*by)
+    running = F.sum("n").over(order.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumns({"sofar": running, "all": F.sum("n").over(order)}).where(F.col("sofar") >= share * F.col("all")).groupBy(*by).agg(F.min("bin").alias("cut"))
+
+
+def _cells(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
+
+
+def _quartiles(base: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
+    """key, m_ (medians) and s_ (quartile ranges as standard deviations, with the floors)."""
+    each = base.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(n) * FINE).alias("bin")) for i, n in enumerate(names)])).alias("x")).select("key", "x.*")
+    counts = materialise(each.groupBy("key", "i", "bin").agg(F.count(F.lit(1)).alias("n")))
+    low, mid, high = (_cut(counts, ["key", "i"], q).withColumnRenamed("cut", f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75)))
+    points = low.join(mid, ["key", "i"]).join(high, ["key", "i"])
+    at = lambda i, column: F.max(F.when(F.col("i") == i, column))
+    spread = (F.col("q2") - F.col("q0")) / (FINE * 1.349)
+    return points.groupBy("key").agg(
+        *[at(i, (F.col("q1") + 0.5) / FINE).alias(f"m_{n}") for i, n in enumerate(names)],
+        *[at(i, F.sqrt(spread * spread + floors[i] ** 2)).alias(f"s_{n}") for i, n in enumerate(names)],
+    )
+
+
+def _starts(base: DataFrame, middle: DataFrame, names: list[str], floors: list[float], n_groups: int) -> DataFrame:
+    """key, start, m_ and l_: the three starts."""
+    p = len(names)
+    z = [((F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")) for n in names]
+    scaled = base.join(small(middle, n_groups), "key").select("key", *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    norm = F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(1, p)), F.col("z0") ** 2))
+    scaled = scaled.withColumn("norm", norm)
+    tanh = scaled.select("key", F.lit(0).alias("start"), *[F.tanh(f"z{i}").alias(f"z{i}") for i in range(p)])
+    signs = scaled.select("key", F.lit(1).alias("start"), *[F.when(F.col("norm") > 0, F.col(f"z{i}") / F.col("norm")).otherwise(0.0).alias(f"z{i}") for i in range(p)])
+    binned = scaled.withColumn("bin", _log_bin(F.col("norm")))
+    cut = _cut(binned.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n")), ["key"], 0.5)
+    inner = binned.join(small(cut, n_groups), "key").where("bin <= cut").select("key", F.lit(2).alias("start"), *[f"z{i}" for i in range(p)])
+    moments = tanh.unionByName(signs).unionByName(inner).groupBy("key", "start").agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c_{i}_{j}") for i, j in _cells(p)])
+    moments = moments.join(small(middle, n_groups), "key")
+    scatter = {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * F.col(f"s_{names[i]}") * F.col(f"s_{names[j]}") + (floors[i] ** 2 if i == j else 0.0) for i, j in _cells(p)}
+    return materialise(_cholesky(moments.withColumns(scatter), floors).drop(*[f"s_{n}" for n in names]))
+
+
+def _log_bin(x: Column) -> Column:
+    return F.floor(F.log(x + 1e-9) * LOG_FINE)
+
+
 def mahalanobis(rows: DataFrame, names: list[str], floors: list[float], groups: list[str], rules: Rules) -> DataFrame:
-    """``rows`` with d2, the squared robust distance within its group (or all rows, if the group is small)."""
+    """``rows`` with d2, the squared robust distance within its group."""
     p = len(names)
-    own = F.struct(*[F.coalesce(F.col(g).cast("string"), F.lit("\x00")).alias(g) for g in groups])
-    sizes = rows.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("n_group"))
-    n_groups, n_small = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("n_group") < rules.group)).first()
-    keyed = rows.withColumn("own", own).join(small(sizes.where(F.col("n_group") >= rules.group), n_groups), "own", "left")
-    keyed = keyed.withColumn("key", F.when(F.col("n_group").isNotNull(), F.to_json("own")).otherwise(F.lit(""))).drop("own", "n_group")
-    # small groups are judged by the estimate of all rows
-    base = keyed.where(F.col("key") != "").unionByName(keyed.withColumn("key", F.lit(""))) if n_small else keyed
-    centre = base.groupBy("key").agg(
-        *[F.percentile_approx(n, F.lit(0.5), F.lit(10000)).alias(f"m_{n}") for n in names],
-        *[((F.percentile_approx(n, F.lit(0.75), F.lit(10000)) - F.percentile_approx(n, F.lit(0.25), F.lit(10000))) / 1.349).alias(f"s_{n}") for n in names],
-    )
-    for i, n in enumerate(names):
-        for j in range(i + 1):
-            centre = centre.withColumn(f"l_{i}_{j}", F.sqrt(F.col(f"s_{n}") ** 2 + floors[i] ** 2) if i == j else F.lit(0.0))
+    own = F.to_json(F.struct(*[F.col(g).cast("string").alias(g) for g in groups]))
+    keyed = rows.withColumn("key", own)
+    n_groups = 3 * (keyed.select("key").distinct().count() + 1)
+    base = keyed.select("key", *names).unionByName(rows.select(F.lit("").alias("key"), *names))
+    centre = _starts(base, materialise(_quartiles(base, names, floors)), names, floors, n_groups)
     factor = consistency(p, rules.half)
+    scatter = {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * factor + (floors[i] ** 2 if i == j else 0.0) for i, j in _cells(p)}
     for _ in range(rules.steps):
-        scored = _distance(base, centre, names, n_groups)
-        cut = scored.groupBy("key").agg(F.percentile_approx("d2", F.lit(rules.half), F.lit(10000)).alias("cut"))
-        inner = scored.join(small(cut, n_groups), "key").where(F.col("d2") <= F.col("cut"))
-        moments = inner.groupBy("key").agg(
-            *[F.avg(n).alias(f"m_{n}") for n in names],
-            *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
+        scored = _distance(base, centre, names, n_groups).withColumn("bin", _log_bin(F.col("d2")))
+        cut = _cut(scored.groupBy("key", "start", "bin").agg(F.count(F.lit(1)).alias("n")), ["key", "start"], rules.half)
+        inner = scored.join(small(cut, n_groups), ["key", "start"]).where("bin <= cut")
+        moments = inner.groupBy("key", "start").agg(
+            *[F.round(F.avg(n), 10).alias(f"m_{n}") for n in names],
+            *[F.round(F.coalesce(F.covar_pop(names[i], names[j]), F.lit(0.0)), 12).alias(f"c_{i}_{j}") for i, j in _cells(p)],
         )
-        centre = _cholesky(moments, names, floors, factor)
-    return _distance(keyed, centre, names, n_groups).drop("key")
+        before, centre = centre, materialise(_cholesky(moments.withColumns(scatter), floors))
+        discard(before)
+    determinant = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, p)), F.log("l_0_0"))
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.round(determinant, 6), "start"))
+    best = centre.withColumn("best", best).where("best = 1").join(base.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "key")
+    # weighed with the estimate of all rows
+    values = [f"m_{n}" for n in names] + [f"c_{i}_{j}" for i, j in _cells(p)]
+    pooled = best.where("key = ''").select(*[F.col(v).alias(f"all_{v}") for v in values])
+    w = F.col("n_rows") / (F.col("n_rows") + rules.prior)
+    best = best.where("key <> ''").join(F.broadcast(pooled), how="left").withColumns({v: F.round(w * F.col(v) + (1 - w) * F.coalesce(f"all_{v}", v), 12) for v in values})
+    return _distance(keyed, materialise(_cholesky(best, floors)), names, n_groups).drop("key", "start")
 
 
 def _distance(rows: DataFrame, centre: DataFrame, names: list[str], n_groups: int) -> DataFrame:
     p = len(names)
-    joined = rows.join(small(centre.select("key", *[f"m_{n}" for n in names], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]), n_groups), "key")
+    joined = rows.join(small(centre.select("key", "start", *[f"m_{n}" for n in names], *[f"l_{i}_{j}" for i, j in _cells(p)]), n_groups), "key")
     ys: list[Column] = []
     for i, n in enumerate(names):
         y = F.col(n) - F.col(f"m_{n}")
@@ -165,18 +224,16 @@ def _distance(rows: DataFrame, centre: DataFrame, names: list[str], n_groups: in
             y = y - F.col(f"l_{i}_{j}") * ys[j]
         ys.append(y / F.col(f"l_{i}_{i}"))
     total = sum((y * y for y in ys[1:]), ys[0] * ys[0])
-    return joined.select(*rows.columns, total.alias("d2"))
+    return joined.select(*rows.columns, "start", total.alias("d2"))
 
 
-def _cholesky(moments: DataFrame, names: list[str], floors: list[float], factor: float) -> DataFrame:
-    """Lower triangular root of the scatter (times the consistency factor, plus the floors)."""
-    p = len(names)
-    for i in range(p):
-        for j in range(i + 1):
-            x = F.col(f"c_{i}_{j}") * factor + (floors[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                x = x - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(floors[i] ** 2 / 4))) if i == j else x / F.col(f"l_{j}_{j}"))
+def _cholesky(moments: DataFrame, floors: list[float]) -> DataFrame:
+    """With l_, the lower triangular root of the scatter c_."""
+    for i, j in _cells(len(floors)):
+        x = F.col(f"c_{i}_{j}")
+        for k in range(j):
+            x = x - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(floors[i] ** 2 / 4))) if i == j else x / F.col(f"l_{j}_{j}"))
     return moments
 
 

@@ -280,6 +280,25 @@ def test_outliers_go_and_ordinary_texts_stay(make):
     assert out[320]["base_failed"] and not out[310]["base_failed"]
 
 
+def test_lines_repeated_below_the_base_limit_are_outliers_and_partitions_do_not_matter(make):
+    rng = np.random.default_rng(6)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(n))
+    texts = []
+    for _ in range(150):
+        lines = [line(int(rng.integers(8, 16))) for _ in range(12)]
+        if len(texts) % 50 == 7:
+            short = line(3)
+            lines = lines[:8] + [short] * 8  # half the lines are copies; few of the words
+        texts.append("\n".join(lines))
+    docs = make(texts)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs.repartition(3)).collect()}
+    odd = [i for i in got if i % 50 == 7]
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in odd)
+    assert sum(r["kept"] for i, r in got.items() if i not in odd) >= 145
+    again = {r["doc_id"]: r for r in quality_rules.judge(docs.repartition(11)).collect()}
+    assert all(got[i]["kept"] == again[i]["kept"] and abs(got[i]["distance"] - again[i]["distance"]) < 1e-6 for i in got)
+
+
 def test_quality_rules_of_odd_rows_and_native_plan(make):
     docs = make(ODD, **CLASH)
     out = quality_rules.judge(docs)
