@@ -154,6 +154,39 @@ def test_html_languages_without_a_word_list():
             assert html_text.main_text(f"{nav}<div><p>{body}</p><p>{body}</p></div>{foot}") == f"{body}\n{body}", lang
 
 
+def test_html_words_in_attributes_and_headings():
+    long = "This is the text of the story and it is about what the people of the town did when they had no water for a week, and how all of them got on with it in the end as they do. " * 2
+    wrap = "<nav><a href=a>Menu</a></nav><article>{}</article><footer>Imprint</footer>"
+    body = f"<h2 id='related-work'>Related work</h2><h2 id=social-impact>Impact</h2><p title='A hidden gem'>{long}</p><section id='notice-and-consent'><p>{long}</p></section>"
+    assert html_text.main_text(wrap.format(body)).split("\n") == ["Related work", "Impact", long.strip(), long.strip()]
+    assert html_text.main_text(wrap.format(f"<p>{long}</p><div id='comments'><p>{long}</p></div><p hidden>{long}</p><div class='share'>Share <a href=b>there</a></div>")).split("\n") == [long.strip()]
+    for mark in ("role='main'", "role=main", 'ROLE="main"'):
+        assert html_text.main_text(f"<div><p>Somewhere else.</p></div><div {mark}><p>{long}</p></div>") == long.strip()
+    for outer in ('class="layout with-sidebar"', 'class="has-sidebar"', 'class="menu-open wrapper no-sidebar"'):
+        assert html_text.main_text(f"<div {outer}><article><p>{long}</p></article></div>") == long.strip()
+    # cards marked as articles beside a story that isn't: the rules decide
+    cards = "".join(f"<article><a href={i}>A card with a link to page {i}</a></article>" for i in range(9))
+    assert html_text.main_text(f"<div>{cards}</div><div><p>{long}</p><p>{long}</p></div>").split("\n") == [long.strip()] * 2
+
+
+def test_html_block_rules_decide_within_a_marked_article():
+    long = "This is the text of the story and it is about what the people of the town did when they had no water for a week, and how all of them got on with it in the end as they do. " * 2
+    links = "<ul>" + "".join(f"<li><a href={i}>Another page about something else altogether, number {i} of many more to read</a></li>" for i in range(4)) + "</ul>"
+    junk = "Xq zrtp vvkw qlpt ghjk zzxc mnbv qwrt plkj hgfd zxcv bnmm qqwr ttyp lkjh gfds zxvb nmqw rtpl kjhg"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>{long}</p><p>{junk}</p><p>{long}</p>{links}</article>").split("\n") == ["Title", long.strip(), junk, long.strip()]
+    assert html_text.main_text(f"<article><p>{junk}</p><p>{junk}</p></article>").split("\n") == [junk, junk]
+
+
+def test_html_work_is_linear():
+    import time
+
+    n = 60_000
+    for page in ("<b>x " * n, "<div>x" * n, "<b>" * n + "<div>" * n + "</b>" * n, "<div class=menu>x" * n, "<a href=x>y" * n, "<!" * n, "<p a='x" * n, "</div>" * n + "<span class=ad>z</b>" * n, "<article>x" * n):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 20, page[:20]
+
+
 def test_html_broken_markup_and_odd_rows(spark):
     for page in ("<p>open <b>bold", "<article><p>a", "<!-- never closed <p>x</p>", "<script>never closed", "a < b > c", "<p class='x>y", "&am", "<" * 5000, "<div>" * 3000 + "deep", "</p></div>", "<p>a</p>" * 2000):
         html_text.main_text(page)
