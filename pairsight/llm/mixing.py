@@ -41,6 +41,8 @@ class Settings:
     #: Tokens to realise (None: the least budget that keeps every document).
     budget: int | None = None
     block_tokens: int = 200_000
+    #: Blocks of a source, at most: beyond that they hold more tokens.
+    blocks: int = 50_000
     seed: int = 17
     sources: int = 100_000
 
@@ -92,7 +94,7 @@ def plan(tokens: dict[str, int], s: Settings) -> list[tuple]:
         w = weights(live, choose_exponent(live, s))
         for k, r in sorted(repetitions(live, w, s.budget).items()):
             full = math.floor(r + 1e-9)
-            out.append((k, w[k], full, max(0, round((r - full) * live[k])), max(1, math.ceil(live[k] / s.block_tokens))))
+            out.append((k, w[k], full, max(0, round((r - full) * live[k])), min(s.blocks, max(1, math.ceil(live[k] / s.block_tokens)))))
     return out
 
 
