@@ -72,6 +72,11 @@ def small(df: DataFrame, rows: int, bound: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def row_keys(id_col: Column, text: Column) -> list[Column]:
+    """Two longs, ka and kb, that tell a row by its id and text."""
+    return [F.xxhash64(id_col, text).alias("ka"), F.xxhash64(text, F.lit(3), id_col).alias("kb")]
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

@@ -40,6 +40,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
         edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), F.col("v").alias("root"))
     )

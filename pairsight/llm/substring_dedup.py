@@ -40,10 +40,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, map_batches, materialise, release_memory, texts_of, windows
+from .common import Words, discard, map_batches, materialise, release_memory, row_keys, texts_of, windows
 
 
 @dataclass(frozen=True)
@@ -201,11 +201,6 @@ def _counted(copies: DataFrame, s: Settings) -> DataFrame:
     return keep_known(each, twice, ["k1", "k2"], max(1, each.count())).select("ka", "kb", "at", F.lit(1).alias("n"))
 
 
-def row_keys(id_col: Column, text: Column) -> list[Column]:
-    """Two longs that tell a row by its id and text."""
-    return [F.xxhash64(id_col, text).alias("ka"), F.xxhash64(text, F.lit(3), id_col).alias("kb")]
-
-
 def remove_repeated(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept_text (null where nothing was removed, or not asked for) and kept_sha256.
 

@@ -73,6 +73,36 @@ def test_near_duplicates_equal_brute_force(make, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def crowded(rng):
+    """Texts that share long passages below the limit, and near copies of them at and above it."""
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = shared[: int(rng.integers(30, 60))] + [f"u{i}x{j}" for j in range(int(rng.integers(10, 40)))]
+        rows.append(w)
+        for _ in range(int(rng.integers(0, 3))):
+            c = list(w)
+            for _ in range(int(rng.integers(0, 4))):
+                c[int(rng.integers(len(c)))] = f"e{rng.integers(10**6)}"
+            rows.append(c)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("region", [16, 2])
+def test_forest_finds_all_groups_in_crowded_regions(make, region):
+    rows = crowded(np.random.default_rng(8))
+    got = near_dedup.near_duplicates(make(rows), near_dedup.Settings(words=4, region=region)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 4)
+
+
+def test_links_come_from_the_forest(make, monkeypatch):
+    rows = crowded(np.random.default_rng(8))
+    whole = near_dedup.forest
+    monkeypatch.setattr(near_dedup, "forest", lambda reps: whole(reps).limit(0))
+    got = near_dedup.near_duplicates(make(rows), near_dedup.Settings(words=4)).collect()
+    assert len({r["component_id"] for r in got}) > len({c for _, c in brute_groups(rows, 4).values()})
+
+
 def test_near_duplicates_of_odd_rows(make):
     got = near_dedup.near_duplicates(make(ODD, **CLASH)).collect()
     assert len(got) == len(ODD)
