@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 import sys
 import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +46,7 @@ class Settings:
     tokenizer: str | None = None
 
 
-if sys.byteorder != "little" or array("I").itemsize != 4:
+if sys.byteorder != "little":
     raise ImportError("ids are kept as little-endian 32-bit words")
 
 # ---- tokens -----------------------------------------------------------------------------------
@@ -68,7 +67,7 @@ class Tokens:
     tokenizer's added tokens go the library's way. The table is emptied when half full.
     """
 
-    SLOTS = 1 << 19
+    SLOTS = 1 << 21
 
     def __init__(self, path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads hold memory
@@ -103,11 +102,16 @@ class Tokens:
         """New runs and their hashes."""
         if len(h) > self.SLOTS // 2:
             raise ValueError("more runs at once than the table holds")
-        parts = []
-        for k in range(0, len(runs), 2000):
-            parts += [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(runs[k : k + 2000], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.frombuffer(b"".join([x.tobytes() for x in parts]), np.uint32)
+        parts, counts = [], []
+        for k in range(0, len(runs), 500):  # one text of many runs costs less than many texts
+            part = runs[k : k + 500]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            size = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            place = np.searchsorted(np.cumsum(size) - size, np.fromiter((x[0] for x in e.offsets), np.int64, len(ids)), "right") - 1
+            parts.append(ids)
+            counts.append(np.bincount(place, minlength=len(part)))
+        flat, sizes = np.concatenate(parts), np.concatenate(counts)
         n, used = self.known, int(self.at[self.known])
         while len(self.at) < n + len(h) + 1:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
