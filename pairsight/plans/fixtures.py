@@ -1,7 +1,8 @@
 """Tables of the data model, derived from the driver's tables.
 
 There are no images among the inputs, so rasters, detections, joints and metadata are made from
-texts, vectors and events by rules that SQL can state too. Every rule covers its whole table.
+texts, vectors and events by rules that SQL can state too. Every rule covers its whole table,
+and a raster the whole text.
 """
 
 from __future__ import annotations
@@ -59,11 +60,20 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_of(text: str | None, side: int) -> np.ndarray | None:
-    """The same samples in numpy, for kernels that need larger rasters."""
+    """(side, side, 3) samples of a whole text.
+
+    Sample k is seven times the sum of the code points at k, k + 3 side^2, k + 6 side^2 and so on, modulo
+    256; a text too short for all samples is repeated.
+    """
     if not text:
         return None
-    points = np.frombuffer(text[: 3 * side * side].encode("utf-32-le"), np.uint32).astype(np.int64)
-    return (points[np.arange(3 * side * side) % len(points)] * 7 % 256).astype(np.uint8).reshape(side, side, 3)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = 3 * side * side
+    if len(points) < size:
+        sums = points[np.arange(size) % len(points)]
+    else:
+        sums = np.append(points, np.zeros(-len(points) % size, np.int64)).reshape(-1, size).sum(0)
+    return (sums * 7 % 256).astype(np.uint8).reshape(side, side, 3)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

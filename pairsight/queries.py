@@ -84,8 +84,11 @@ def exact_payload(spark, sf_dir):
 
 # ---- rasters -------------------------------------------------------------------------------------
 
-_AT = "(unicode(substr(text, CAST((3*i+{c})%length(text) AS INT)+1, 1))*7)%256"
-_PX = f"""px AS (SELECT doc_id, i, i//16 AS y, i%16 AS x, {_AT.format(c=0)} AS r, {_AT.format(c=1)} AS g, {_AT.format(c=2)} AS b FROM documents, range(256) t(i) WHERE length(text) > 0),
+_PX = """cp AS (SELECT doc_id, n, unnest(u) AS u, unnest(range(n)) AS p FROM (SELECT doc_id, length(text) AS n, list_transform(string_split(text, ''), lambda x: unicode(x)) AS u FROM documents WHERE length(text) > 0)),
+sm AS MATERIALIZED (SELECT doc_id, any_value(n) AS n, p % 768 AS k, CAST(sum(u)*7%256 AS INTEGER) AS v FROM cp GROUP BY doc_id, p % 768),
+wj AS MATERIALIZED (SELECT doc_id, j, j % n AS k FROM (SELECT doc_id, any_value(n) AS n FROM sm GROUP BY doc_id) d, range(768) t(j)),
+sv AS MATERIALIZED (SELECT wj.doc_id AS doc_id, j, v FROM wj JOIN sm ON sm.doc_id = wj.doc_id AND sm.k = wj.k),
+px AS MATERIALIZED (SELECT doc_id, j//3 AS i, j//3//16 AS y, j//3%16 AS x, max(v) FILTER (j%3=0) AS r, max(v) FILTER (j%3=1) AS g, max(v) FILTER (j%3=2) AS b FROM sv GROUP BY doc_id, j//3),
 gr AS (SELECT *, (r*19595+g*38470+b*7471+32768)>>16 AS v, CAST(0.299 AS DOUBLE)*r+CAST(0.587 AS DOUBLE)*g+CAST(0.114 AS DOUBLE)*b AS l FROM px),
 pp AS (SELECT p.doc_id AS pair_id, p.i AS i, p.y AS y, p.x AS x, p.r AS r1, p.g AS g1, p.b AS b1, p.l AS l1, q.r AS r2, q.g AS g2, q.b AS b2, q.l AS l2 FROM gr p JOIN gr q ON q.doc_id = p.doc_id + 1 AND q.i = p.i)"""
 
