@@ -118,15 +118,28 @@ def keep_known(rows: DataFrame, known: DataFrame, on: list[str], total: int) ->
     return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))
 
 
+def flag_known(rows: DataFrame, known: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` with hit, whether their key is in ``known``; every join keeps its rows one to one.
+
+    Rows without a heavy key come twice, once of them as no hit.
+    """
+    hit = F.coalesce("known", F.lit(False)).alias("hit")
+    heavy = F.broadcast(known.where(F.col("n") > total // HEAVY).select(*on, F.lit(True).alias("known")))
+    light = known.where(F.col("n") <= total // HEAVY).select(*on, F.lit(True).alias("known"))
+    first = rows.join(heavy, on, "left").select(*rows.columns, hit)
+    rest = rows.join(heavy.select(on), on, "left_anti").join(light, on, "left").select(*rows.columns, hit)
+    return first.unionByName(rest)
+
+
 def repeated_spans(spans: DataFrame, source: DataFrame, s: Settings) -> DataFrame:
-    """ka, kb (of a row), at, n: runs of windows that are repeated."""
+    """ka, kb (of a row), at, n, hit: runs of windows, repeated where hit."""
     key = ["gram", "k1", "k2"]
     total = spans.count()
     if not total:
-        return spans.select("ka", "kb", "at", "n")
+        return spans.select("ka", "kb", "at", "n", F.lit(False).alias("hit"))
     contents = materialise(spans.groupBy(*key, "n").agg(F.count(F.lit(1)).alias("c")))
     twice = contents.where("c > 1").select(*key, F.col("c").alias("n"))
-    same = keep_known(spans, twice, key, total).select("ka", "kb", "at", "n")
+    same = flag_known(spans, twice, key, total).select("ka", "kb", "at", "n", "hit")
     # minimizers of which some span was met once: its windows may lie in the others
     mixed = contents.groupBy("gram").agg(F.sum("c").alias("n"), F.min("c").alias("least"), F.sum(s.window - 1 + F.col("n")).alias("words")).where("least = 1")
     mixed = materialise(mixed.select("gram", "n", "words", (F.col("words") > s.shard_words).alias("large")))
@@ -179,10 +192,10 @@ def repeated_spans(spans: DataFrame, source: DataFrame, s: Settings) -> DataFram
         large = mixed.where("large")
         light = keep_known(copies, mixed.where(~F.col("large")), ["gram"], n_spans)
     shard = F.pmod(F.xxhash64("gram"), F.lit(n_shards)).alias("shard")
-    out = same.unionByName(light.select("*", shard).groupBy("shard").applyInArrow(solve, runs))
+    out = light.select("*", shard).groupBy("shard").applyInArrow(solve, runs)
     if n_large:
         out = out.unionByName(_counted(keep_known(copies, large, ["gram"], n_spans), s))
-    return materialise(out)
+    return same.unionByName(materialise(out).withColumn("hit", F.lit(True)))
 
 
 def _counted(copies: DataFrame, s: Settings) -> DataFrame:
@@ -225,7 +238,7 @@ def remove_repeated(docs: DataFrame, settings: Settings | None = None, id_col: s
     marks = facts.select("ka", "kb", F.explode(F.arrays_zip("gram", "k1", "k2", "at", "n")).alias("s")).select("ka", "kb", "s.*")
     spans = materialise(keep_known(marks, seen, ["gram"], max(1, total)))
     runs = repeated_spans(spans, source, s)
-    hits = runs.groupBy("ka", "kb").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    hits = runs.groupBy("ka", "kb").agg(F.collect_list(F.when(F.col("hit"), F.struct("at", "n"))).alias("runs")).where(F.size("runs") > 0)
 
     def third(batch: pa.RecordBatch):
         w = Words(texts_of(batch.column(2)))
