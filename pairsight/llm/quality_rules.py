@@ -208,9 +208,10 @@ def mahalanobis(rows: DataFrame, names: list[str], floors: list[float], groups:
     best = centre.withColumn("best", best).where("best = 1").join(base.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "key")
     # weighed with the estimate of all rows
     values = [f"m_{n}" for n in names] + [f"c_{i}_{j}" for i, j in _cells(p)]
-    pooled = best.where("key = ''").select(*[F.col(v).alias(f"all_{v}") for v in values])
-    w = F.col("n_rows") / (F.col("n_rows") + rules.prior)
-    best = best.where("key <> ''").join(F.broadcast(pooled), how="left").withColumns({v: F.round(w * F.col(v) + (1 - w) * F.coalesce(f"all_{v}", v), 12) for v in values})
+    pooled = best.where("key = ''").select(values).first()
+    if pooled is not None:
+        w = F.col("n_rows") / (F.col("n_rows") + rules.prior)
+        best = best.where("key <> ''").withColumns({v: F.round(w * F.col(v) + (1 - w) * F.lit(pooled[v]), 12) for v in values})
     return _distance(keyed, materialise(_cholesky(best, floors)), names, n_groups).drop("key", "start")
 
 
