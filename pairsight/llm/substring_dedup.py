@@ -15,7 +15,9 @@ dealt out instead of broadcast.
 
 1. Each window is represented by its minimizer, the least hash of the ``Settings.gram``-word runs
    in it; equal windows have equal minimizers at equal places. A maximal run of windows with one
-   minimizer is a span; spans part a document's windows. Spans of minimizers met once are done.
+   minimizer is a span; spans part a document's windows. Equal spans that follow each other, as in
+   words repeated without end, are one row with the number of times. Spans of minimizers met once
+   are done.
 2. Equal spans are counted, before the shuffle. All windows of a span met twice are repeated.
 3. Where one minimizer has several different spans, one copy of each is the reference: spans are
    dealt into shards by minimizer, each shard builds its suffix automaton, and its spans are
@@ -74,7 +76,10 @@ def least_of_runs(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Spans:
-    """Spans of several texts: doc, at (first word, from the text's), n (windows), gram, k1, k2 (digests)."""
+    """Spans of several texts: doc, at (first word, from the text's), n (windows), gram, k1, k2 (digests), times.
+
+    Equal spans that follow each other are one entry, of the first, with their number in ``times``.
+    """
 
     def __init__(self, words: Words, s: Settings):
         h = words.hashes()
@@ -95,8 +100,17 @@ class Spans:
         self.at = (start[first] - words.first[self.doc]).astype(np.int32)
         # a span is no longer than two windows, so its first, its last and their distance tell it
         self.k1, self.k2 = (self._digest(windows(words.hashes(seed), s.window), start, first, last) for seed in (1, 2))
+        self._fold()
         self.bounds = np.searchsorted(self.doc, np.arange(words.n + 1)).astype(np.int32)
 
+    def _fold(self) -> None:
+        new = np.ones(len(self.doc), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in (self.doc, self.gram, self.k1, self.k2)], axis=0)
+        first = np.flatnonzero(new)
+        self.times = np.diff(np.append(first, len(new))).astype(np.int32)
+        for name in ("doc", "gram", "k1", "k2", "at", "n"):
+            setattr(self, name, getattr(self, name)[first])
+
     def _digest(self, whole: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         if not len(first):
             return np.zeros(0, np.int64)
@@ -118,37 +132,24 @@ def keep_known(rows: DataFrame, known: DataFrame, on: list[str], total: int) ->
     return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))
 
 
-def flag_known(rows: DataFrame, known: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``rows`` with hit, whether their key is in ``known``; every join keeps its rows one to one.
-
-    Rows without a heavy key come twice, once of them as no hit.
-    """
-    hit = F.coalesce("known", F.lit(False)).alias("hit")
-    heavy = F.broadcast(known.where(F.col("n") > total // HEAVY).select(*on, F.lit(True).alias("known")))
-    light = known.where(F.col("n") <= total // HEAVY).select(*on, F.lit(True).alias("known"))
-    first = rows.join(heavy, on, "left").select(*rows.columns, hit)
-    rest = rows.join(heavy.select(on), on, "left_anti").join(light, on, "left").select(*rows.columns, hit)
-    return first.unionByName(rest)
-
-
 def repeated_spans(spans: DataFrame, source: DataFrame, s: Settings) -> DataFrame:
-    """ka, kb (of a row), at, n, hit: runs of windows, repeated where hit."""
+    """ka, kb (of a row), at, n: runs of windows that are repeated."""
     key = ["gram", "k1", "k2"]
     total = spans.count()
     if not total:
-        return spans.select("ka", "kb", "at", "n", F.lit(False).alias("hit"))
-    contents = materialise(spans.groupBy(*key, "n").agg(F.count(F.lit(1)).alias("c")))
-    twice = contents.where("c > 1").select(*key, F.col("c").alias("n"))
-    same = flag_known(spans, twice, key, total).select("ka", "kb", "at", "n", "hit")
+        return spans.select("ka", "kb", "at", "n")
+    contents = materialise(spans.groupBy(*key, "n").agg(F.sum("times").alias("c"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("ka", "kb", "at")).alias("one")))
+    twice = contents.where("c > 1").select(*key, F.col("rows").alias("n"))
+    same = keep_known(spans, twice, key, total).select("ka", "kb", "at", (F.col("n") * F.col("times")).alias("n"))
     # minimizers of which some span was met once: its windows may lie in the others
-    mixed = contents.groupBy("gram").agg(F.sum("c").alias("n"), F.min("c").alias("least"), F.sum(s.window - 1 + F.col("n")).alias("words")).where("least = 1")
+    mixed = contents.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.sum(s.window - 1 + F.col("n")).alias("words")).where("least = 1")
     mixed = materialise(mixed.select("gram", "n", "words", (F.col("words") > s.shard_words).alias("large")))
-    n_words, n_spans, n_large = mixed.agg(F.sum(F.when(~F.col("large"), F.col("words"))), F.sum("n"), F.count_if("large")).first()
-    if n_spans is None:
+    n_words, n_copies, n_large = mixed.agg(F.sum(F.when(~F.col("large"), F.col("words"))), F.sum("n"), F.count_if("large")).first()
+    if n_copies is None:
         return same
     n_shards = max(1, -(-2 * int(n_words or 0) // s.shard_words))
-    chosen = keep_known(spans, mixed, ["gram"], total).groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ka", "kb", "at", "n")).alias("one"))
-    reps = chosen.select(*key, "c", "one.*").groupBy("ka", "kb").agg(F.collect_list(F.struct(*key, "c", "at", "n")).alias("spans"))
+    chosen = keep_known(contents, mixed, ["gram"], contents.count())
+    reps = chosen.select(*key, "c", "n", "one.*").groupBy("ka", "kb").agg(F.collect_list(F.struct(*key, "c", "at", "n")).alias("spans"))
     # rows repeated under one id have equal keys and texts: one of them is read
     reps = source.join(reps, ["ka", "kb"]).select("text", "ka", "kb", "spans").dropDuplicates(["ka", "kb"])
 
@@ -190,12 +191,12 @@ def repeated_spans(spans: DataFrame, source: DataFrame, s: Settings) -> DataFram
     light = copies
     if n_large:
         large = mixed.where("large")
-        light = keep_known(copies, mixed.where(~F.col("large")), ["gram"], n_spans)
+        light = keep_known(copies, mixed.where(~F.col("large")), ["gram"], n_copies)
     shard = F.pmod(F.xxhash64("gram"), F.lit(n_shards)).alias("shard")
     out = light.select("*", shard).groupBy("shard").applyInArrow(solve, runs)
     if n_large:
-        out = out.unionByName(_counted(keep_known(copies, large, ["gram"], n_spans), s))
-    return same.unionByName(materialise(out).withColumn("hit", F.lit(True)))
+        out = out.unionByName(_counted(keep_known(copies, large, ["gram"], n_copies), s))
+    return same.unionByName(materialise(out))
 
 
 def _counted(copies: DataFrame, s: Settings) -> DataFrame:
@@ -227,18 +228,18 @@ def remove_repeated(docs: DataFrame, settings: Settings | None = None, id_col: s
     def first(batch: pa.RecordBatch):
         w = Words(texts_of(batch.column(1)))
         p = Spans(w, s)
-        lists = {k: pa.ListArray.from_arrays(p.bounds, pa.array(getattr(p, k))) for k in ("gram", "k1", "k2", "at", "n")}
+        lists = {k: pa.ListArray.from_arrays(p.bounds, pa.array(getattr(p, k))) for k in ("gram", "k1", "k2", "at", "n", "times")}
         yield {"id": batch.column(0), "ka": batch.column(2), "kb": batch.column(3), "n_words": w.counts, "sha": [hashlib.sha256(x).hexdigest() for x in w.joined()]} | lists
 
-    fields = f"id {id_type}, ka long, kb long, n_words long, sha string, gram array<long>, k1 array<long>, k2 array<long>, at array<int>, n array<int>"
+    fields = f"id {id_type}, ka long, kb long, n_words long, sha string, gram array<long>, k1 array<long>, k2 array<long>, at array<int>, n array<int>, times array<int>"
     facts = materialise(map_batches(source, first, fields, "text"))
-    seen = facts.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    seen = materialise(seen)
+    seen = facts.select(F.explode(F.arrays_zip("gram", "times")).alias("s")).groupBy("s.gram").agg(F.count(F.lit(1)).alias("n"), F.sum("s.times").alias("c"))
+    seen = materialise(seen.where("c > 1").select("gram", "n"))
     total = int(facts.agg(F.sum(F.size("gram"))).first()[0] or 0)
-    marks = facts.select("ka", "kb", F.explode(F.arrays_zip("gram", "k1", "k2", "at", "n")).alias("s")).select("ka", "kb", "s.*")
+    marks = facts.select("ka", "kb", F.explode(F.arrays_zip("gram", "k1", "k2", "at", "n", "times")).alias("s")).select("ka", "kb", "s.*")
     spans = materialise(keep_known(marks, seen, ["gram"], max(1, total)))
     runs = repeated_spans(spans, source, s)
-    hits = runs.groupBy("ka", "kb").agg(F.collect_list(F.when(F.col("hit"), F.struct("at", "n"))).alias("runs")).where(F.size("runs") > 0)
+    hits = runs.groupBy("ka", "kb").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def third(batch: pa.RecordBatch):
         w = Words(texts_of(batch.column(2)))

@@ -205,6 +205,22 @@ def test_repeated_windows_of_mixed_spans(make, shard_words):
     assert got == dict(zip([i for i, _ in rows], brute_removed(rows, 9), strict=True))
 
 
+def test_words_repeated_without_end_are_few_spans(make):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i, period in enumerate([1, 2, 3, 7, 28, 29, 34, 35, 36, 80] * 2):
+        turn = [f"t{period}x{k}" for k in range(period)]
+        w = turn * int(rng.integers(1, 9)) + turn[: int(rng.integers(0, period))]
+        rows.append((i, " ".join([f"h{i}a", f"h{i}b", *w, f"e{i}"])))
+    rows += [(50, "w " * 34), (51, "v " * 35), (52, "y " * 36)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeated(make(rows)).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_removed(rows, 35), strict=True))
+    for period in (1, 2, 28):
+        text = " ".join(f"t{k % period}" for k in range(5000)).encode()
+        spans = substring_dedup.Spans(common.Words([b"", text, b"a b", text]), substring_dedup.Settings())
+        assert len(spans.at) < 10 and (spans.n * spans.times).sum() == 2 * (5000 - 34)
+
+
 def test_repeated_passages_of_shared_and_null_ids(make):
     passage = " ".join(f"p{i}" for i in range(50))
     only_null = " ".join(f"q{i}" for i in range(40))
