@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ RASTER_KERNELS = fullreference.KERNELS | imagehash.KERNELS | descriptors.KERNELS
 
 def _kernel_query(name: str, kernels: dict, side: int | None):
     def run(spark, sf_dir):
-        rows = X.kernel_pairs(X.text_pairs(spark, sf_dir), {name: kernels[name]}, side)
+        rows = X.kernel_neighbours(_docs(spark, sf_dir), {name: kernels[name]}, side)
         found = F.when(F.col("error").isNotNull(), "error").otherwise(D.verdict_of(name, F.col("value")))
         return rows.select("pair_id", "value", found.alias("verdict"), "error")
 
@@ -254,7 +255,7 @@ for _name in RASTER_KERNELS:
     QUERIES[_name if _name not in QUERIES else f"{_name}_kernel"] = _kernel_query(_name, RASTER_KERNELS, KERNEL_SIDE)
 for _name in fuzzy.KERNELS:
     QUERIES[_name] = _kernel_query(_name, fuzzy.KERNELS, None)
-QUERIES["ncd_bytes"] = lambda s, d: X.kernel_pairs(X.text_pairs(s, d), {"ncd": fullreference.ncd_bytes}, None).select("pair_id", "value")
+QUERIES["ncd_bytes"] = lambda s, d: X.kernel_neighbours(_docs(s, d), {"ncd": fullreference.ncd_bytes}, None).select("pair_id", "value")
 
 # ---- vectors -------------------------------------------------------------------------------------
 
@@ -469,12 +470,35 @@ def robustness(spark, sf_dir):
     from .operators.edits import EDITS
 
     names = ("phash", "dhash", "pdq", "blockMean0")
-    kernels = {f"{e}:{h}": (lambda a, b, e=e, h=h: imagehash.KERNELS[h](a, EDITS[e](a))) for e in EDITS for h in names}
-    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.col("text").alias("b"))
-    rows = X.kernel_pairs(texts, kernels, KERNEL_SIDE).select(F.split("engine_id", ":").alias("e"), "value", "error")
-    line = F.create_map(*[x for h in names for x in (F.lit(h), F.lit(float(catalogue.thresholds(h)[1])))])
-    hit = (F.col("value") <= F.element_at(line, F.col("e")[1])).cast("double")
-    return rows.groupBy(F.col("e")[0].alias("edit"), F.col("e")[1].alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("recall"), F.max("error").alias("error"))
+    lines = {h: float(catalogue.thresholds(h)[1]) for h in names}
+    schema = "edit string, hash string, n long, known long, hits long, error string"
+
+    def counted(batches):
+        """A batch's counts; an edit is made once for all hashes, and a text's own hashes once for all edits."""
+        for batch in batches:
+            found = {(e, h): [0, 0, 0, None] for e in EDITS for h in names}
+            for text in batch.column(0).to_pylist():
+                a = X.raster_of(text, KERNEL_SIDE)
+                own = {}
+                for e, edit in EDITS.items():
+                    b = None if a is None else edit(a)
+                    for h in names:
+                        at, kernel = found[e, h], imagehash.KERNELS[h]
+                        at[0] += 1
+                        if a is None:
+                            continue
+                        try:
+                            if h not in own:
+                                own[h] = kernel.describe(a)
+                            value = kernel.compare(own[h], kernel.describe(b))
+                            at[1], at[2] = at[1] + 1, at[2] + (value <= lines[h])
+                        except (ArithmeticError, ValueError, IndexError, TypeError) as x:
+                            at[3] = max(filter(None, (at[3], f"{type(x).__name__}: {x}")))
+            rows = [(*k, *v) for k, v in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["edit", "hash", "n", "known", "hits", "error"])
+
+    rows = _docs(spark, sf_dir).select("text").repartition(X.parts(spark)).mapInArrow(counted, schema)
+    return rows.groupBy("edit", "hash").agg(F.sum("n").alias("n"), F.round(F.sum("hits") / F.nullif(F.sum("known"), F.lit(0)), 6).alias("recall"), F.max("error").alias("error"))
 
 
 def _grid(side: int, cells: int):
@@ -494,14 +518,12 @@ _LOCAL = {
     "copy_links": lambda a, b: float(sum(x["weight"] for x in localise.copy_links(localise.evidence(_grid(64, 8)(a), _grid(64, 8)(b)), (8, 8), (8, 8))["links"])),
 }
 for _name in _LOCAL:
-    QUERIES[_name] = lambda s, d, n=_name: X.kernel_pairs(X.text_pairs(s, d), {n: _LOCAL[n]}, KERNEL_SIDE).select("pair_id", "value", "error")
+    QUERIES[_name] = lambda s, d, n=_name: X.kernel_neighbours(_docs(s, d), {n: _LOCAL[n]}, KERNEL_SIDE).select("pair_id", "value", "error")
 
 
 @query("container_scan")
 def container_scan(spark, sf_dir):
     """Texts' rasters as PNG files with a note, read back: format, picture digest, chunks, notes."""
-    import pyarrow as pa
-
     from .sources import images
 
     def write(batches):
