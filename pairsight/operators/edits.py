@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,3 +67,64 @@ EDITS = {
     "contrast": lambda z: np.clip(np.round((z.astype(float) - 128) * 1.6 + 128), 0, 255).astype(np.uint8),
     "frame": lambda z: np.pad(z, ((z.shape[0] // 10,) * 2, (z.shape[1] // 10,) * 2, (0, 0)), constant_values=255),
 }
+
+
+# ---- the same edits of many rasters of one size: planes of red, green and blue, each (rasters, rows, columns) ----------------
+
+
+@lru_cache(maxsize=8)
+def _boxes(n: int, radius: int, passes: int) -> np.ndarray:
+    """Matrix of counts: sums over windows with the border repeated, so many times."""
+    pad = np.pad(np.eye(n), ((radius, radius), (0, 0)), mode="edge")
+    once = sum(pad[i : i + n] for i in range(2 * radius + 1))
+    return np.linalg.matrix_power(once, passes).astype(np.float32)
+
+
+def _blur_many(x: np.ndarray, radius: int = 2, passes: int = 3) -> np.ndarray:
+    """Whole sums below 2^24, which 32 bits hold; no quotient comes so near a half that its rounding would depend on more."""
+    h, w = x.shape[-2:]
+    z = _boxes(h, radius, passes) @ (x.reshape(-1, w).astype(np.float32) @ _boxes(w, radius, passes).T).reshape(x.shape)
+    z /= (2 * radius + 1) ** (2 * passes)
+    return np.rint(z, out=z).astype(np.uint8)
+
+
+@lru_cache(maxsize=8)
+def _grain(h: int, w: int, sigma: float, seed: int = 1234) -> np.ndarray:
+    return np.ascontiguousarray(np.moveaxis(np.random.default_rng(seed).normal(0, sigma, (h, w, 3)), -1, 0))[:, None]
+
+
+def _noise_many(x: np.ndarray, sigma: float) -> np.ndarray:
+    z = x + _grain(*x.shape[-2:], sigma)
+    return np.clip(np.rint(z, out=z), 0, 255, out=z).astype(np.uint8)
+
+
+def _hue_many(x: np.ndarray, degrees: float) -> np.ndarray:
+    m = np.array([[0.299, 0.587, 0.114], [0.5959, -0.2746, -0.3213], [0.2115, -0.5227, 0.3112]])
+    t = np.radians(degrees)
+    turn = np.array([[1, 0, 0], [0, np.cos(t), -np.sin(t)], [0, np.sin(t), np.cos(t)]])
+    z = (np.linalg.inv(m) @ turn @ m) @ x.reshape(3, -1).astype(float)
+    return np.clip(np.rint(z, out=z), 0, 255, out=z).astype(np.uint8).reshape(x.shape)
+
+
+def _part_many(x: np.ndarray, *where: float) -> np.ndarray:
+    return np.moveaxis(_part(np.moveaxis(x, (2, 3), (0, 1)), *where), (0, 1), (2, 3))
+
+
+def _scaled_many(x: np.ndarray, k: float) -> np.ndarray:
+    h, w = x.shape[-2:]
+    return P.resize_many(x, max(1, round(w * k)), max(1, round(h * k)), "bicubic")
+
+
+def _pixelate_many(x: np.ndarray) -> np.ndarray:
+    h, w = x.shape[-2:]
+    return P.resize_many(P.resize_many(x, max(1, w // 12), max(1, h // 12), "box"), w, h, "box")
+
+
+EDITS_MANY = {
+    "small40": lambda x: _scaled_many(x, 0.4),
+    "crop50": lambda x: _part_many(x, 0.146, 0.854, 0.146, 0.854), "corner30": lambda x: _part_many(x, 0, 0.55, 0, 0.55),
+    "flip": lambda x: x[..., ::-1], "rot90": lambda x: np.rot90(x, axes=(2, 3)), "hue": lambda x: _hue_many(x, 60), "gray": lambda x: np.repeat(P.grey_many(x)[None], 3, 0),
+    "noise": lambda x: _noise_many(x, 20), "blur": _blur_many, "pixelate": _pixelate_many,
+    "contrast": lambda x: EDITS["contrast"](np.arange(256))[x],
+    "frame": lambda x: np.pad(x, ((0, 0), (0, 0), (x.shape[2] // 10,) * 2, (x.shape[3] // 10,) * 2), constant_values=255),
+}

@@ -467,33 +467,52 @@ def aspect_label(spark, sf_dir):
 @query("robustness")
 def robustness(spark, sf_dir):
     """Share of rasters whose edited copy is within the match line, for each edit and hash: per-edit recall."""
-    from .operators.edits import EDITS
+    from .operators.edits import EDITS, EDITS_MANY
 
     names = ("phash", "dhash", "pdq", "blockMean0")
     lines = {h: float(catalogue.thresholds(h)[1]) for h in names}
     schema = "edit string, hash string, n long, known long, hits long, error string"
+    failures, together = (ArithmeticError, ValueError, IndexError, TypeError), 32
+
+    def one(a, found):
+        """A raster's counts, where a failure of one edit or hash leaves the others."""
+        own = {}
+        for e, edit in EDITS.items():
+            for h in names:
+                at, kernel = found[e, h], imagehash.KERNELS[h]
+                try:
+                    if h not in own:
+                        own[h] = kernel.describe(a)
+                    value = kernel.compare(own[h], kernel.describe(edit(a)))
+                    at[1], at[2] = at[1] + 1, at[2] + (value <= lines[h])
+                except failures as x:
+                    at[3] = max(filter(None, (at[3], f"{type(x).__name__}: {x}")))
+
+    def many(rasters):
+        """Hits of rasters by edit and hash; an edit is made once for all hashes, and own hashes once for all edits."""
+        planes = np.ascontiguousarray(np.moveaxis(np.array(rasters), -1, 0))
+        hashes = lambda x, grey: {h: imagehash.HASHES_MANY[h](x, grey) for h in names}
+        own, hits = hashes(planes, imagehash.P.grey_many(planes)), {}
+        for e, edit in EDITS_MANY.items():
+            made = edit(planes)
+            for h, bits in hashes(made, imagehash.P.grey_many(made)).items():
+                hits[e, h] = int(((own[h] != bits).sum(1) <= lines[h]).sum())
+        return hits
 
     def counted(batches):
-        """A batch's counts; an edit is made once for all hashes, and a text's own hashes once for all edits."""
+        """A batch's counts."""
         for batch in batches:
-            found = {(e, h): [0, 0, 0, None] for e in EDITS for h in names}
-            for text in batch.column(0).to_pylist():
-                a = X.raster_of(text, KERNEL_SIDE)
-                own = {}
-                for e, edit in EDITS.items():
-                    b = None if a is None else edit(a)
-                    for h in names:
-                        at, kernel = found[e, h], imagehash.KERNELS[h]
-                        at[0] += 1
-                        if a is None:
-                            continue
-                        try:
-                            if h not in own:
-                                own[h] = kernel.describe(a)
-                            value = kernel.compare(own[h], kernel.describe(b))
-                            at[1], at[2] = at[1] + 1, at[2] + (value <= lines[h])
-                        except (ArithmeticError, ValueError, IndexError, TypeError) as x:
-                            at[3] = max(filter(None, (at[3], f"{type(x).__name__}: {x}")))
+            found = {(e, h): [batch.num_rows, 0, 0, None] for e in EDITS for h in names}
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for k in range(0, len(texts), together):
+                rasters = [X.raster_of(t, KERNEL_SIDE) for t in texts[k : k + together]]
+                try:
+                    for key, hits in many(rasters).items():
+                        found[key][1] += len(rasters)
+                        found[key][2] += hits
+                except failures:
+                    for a in rasters:
+                        one(a, found)
             rows = [(*k, *v) for k, v in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["edit", "hash", "n", "known", "hits", "error"])
 
